@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 #: Raw text bytes of one block (a longer document is a block of its own).
 BLOCK_BYTES = 6_000_000
 
+#: Stands for a null doc_id inside a block; it sorts before all others.
+NO_ID = -(2**63)
+
 BLOCK_SCHEMA = "block long, n_docs long, raw long, ids binary, nulls binary, lens binary, body binary"
 
 
@@ -79,7 +82,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal count, ids, texts, size
         lens = np.array([-1 if t is None else len(t) for t in texts], "<i8")
         row = [
-            (part << 32) + count, len(ids), size, np.array(ids, "<i8").tobytes(),
+            (part << 32) + count, len(ids), size, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
             np.packbits(lens < 0).tobytes(), np.maximum(lens, 0).tobytes(), press.compress(b"".join(t or b"" for t in texts)),
         ]
         count, ids, texts, size = count + 1, [], [], 0
@@ -118,6 +121,9 @@ class Block:
         self.body = zstandard.ZstdDecompressor().decompress(body)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])
 
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.ids == NO_ID)
+
     def texts(self) -> Iterator[bytes]:
         for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
             yield self.body[a:b]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe, media, packing
+from phasegrid.llm import bpe, media, packing, quality, simhash, substrings
 from phasegrid.llm.common import Scratch, documents
 
 
@@ -24,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary(), Scratch(spark))
 
 
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), Scratch(spark))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
@@ -32,10 +36,21 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir), Scratch(spark))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_discriminant": op2_quality_discriminant,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_matroska": op8_matroska,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
