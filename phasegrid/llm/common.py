@@ -73,37 +73,40 @@ def partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- blocks
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    count, ids, texts, size = 0, [], [], 0
-    press = zstandard.ZstdCompressor(level=1)
-
-    def flush() -> pa.RecordBatch:
-        nonlocal count, ids, texts, size
-        lens = np.array([-1 if t is None else len(t) for t in texts], "<i8")
-        row = [
-            (part << 32) + count, len(ids), size, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
-            np.packbits(lens < 0).tobytes(), np.maximum(lens, 0).tobytes(), press.compress(b"".join(t or b"" for t in texts)),
-        ]
-        count, ids, texts, size = count + 1, [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.large_binary()] * 4, strict=True)], ["block", "n_docs", "raw", "ids", "nulls", "lens", "body"])
-
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data = text.as_py()
-            data = None if data is None else data.encode()
-            ids.append(doc)
-            texts.append(data)
-            size += len(data or b"")
-            if size >= BLOCK_BYTES:
-                yield flush()
-    if ids:
-        yield flush()
-
-
-def to_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def _pack(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        count, ids, texts, size = 0, [], [], 0
+        press = zstandard.ZstdCompressor(level=1)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count, ids, texts, size
+            lens = np.array([-1 if t is None else len(t) for t in texts], "<i8")
+            row = [
+                (part << 32) + count, len(ids), size, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
+                np.packbits(lens < 0).tobytes(), np.maximum(lens, 0).tobytes(), press.compress(b"".join(t or b"" for t in texts)),
+            ]
+            count, ids, texts, size = count + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.large_binary()] * 4, strict=True)], ["block", "n_docs", "raw", "ids", "nulls", "lens", "body"])
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = text.as_py()
+                data = None if data is None else data.encode()
+                ids.append(doc)
+                texts.append(data)
+                size += len(data or b"")
+                if size >= block_bytes:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return run
+
+
+def to_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """Blocks of whole documents as a table, and the raw bytes of all text."""
-    df = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_pack, BLOCK_SCHEMA)
+    df = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
     blocks = scratch.keep(df, "blocks")
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     return blocks, raw
@@ -234,21 +237,27 @@ def window_hash(values: np.ndarray, k: int, base: int) -> np.ndarray:
         power = power * power % 2**64
 
 
+CHUNK, PLACE_BITS = 1 << 15, np.uint64(17)
+PLACE = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+
+
 def minimizers(h: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w consecutive hashes, the place of its smallest (leftmost of equals)."""
+    """For each run of w consecutive hashes, the place of its smallest (leftmost of equals).
+
+    Compares the high 47 bits with the place below them, in chunks that stay in
+    cache; equal runs give the same place relative to their start.
+    """
     n = len(h) - w + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    level, place, size = h, np.arange(len(h)), 1
-    while size * 2 <= w:
-        a, b = level[: len(level) - size], level[size:]
-        less = b < a
-        place = np.where(less, place[size:], place[: len(a)])
-        level = np.where(less, b, a)
-        size *= 2
-    shift = w - size
-    a, b = level[:n], level[shift : shift + n]
-    return np.where(b < a, place[shift : shift + n], place[:n])
+    out = np.zeros(max(n, 0), np.int64)
+    for at in range(0, n, CHUNK):
+        part = h[at : at + CHUNK + w - 1]
+        level, size = part & ~PLACE | np.arange(len(part), dtype=np.uint64), 1
+        while size * 2 <= w:
+            level, size = np.minimum(level[: len(level) - size], level[size:]), size * 2
+        m = len(part) - w + 1
+        level = np.minimum(level[:m], level[w - size : w - size + m])
+        out[at : at + m] = (level & PLACE).astype(np.int64) + at
+    return out
 
 
 def split_by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:

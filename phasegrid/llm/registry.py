@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe, media, packing, quality, simhash, substrings
+from phasegrid.llm import bpe, media, packing, quality, simhash, substrings, suffixes
 from phasegrid.llm.common import Scratch, documents
 
 
@@ -28,6 +28,10 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), Scratch(spark))
 
 
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir), Scratch(spark))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
@@ -47,6 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_discriminant": op2_quality_discriminant,
+    "op3_suffix_arrays": op3_suffix_arrays,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_matroska": op8_matroska,
