@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe, media, packing, quality, simhash, substrings, suffixes
+from phasegrid.llm import backoff, bpe, media, packing, quality, simhash, substrings, suffixes
 from phasegrid.llm.common import Scratch, documents
 
 
@@ -44,6 +44,10 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(documents(spark, sf_dir), Scratch(spark))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(documents(spark, sf_dir), Scratch(spark))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), Scratch(spark))
 
@@ -55,7 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_matroska": op8_matroska,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_stupid_backoff": backoff.ORACLE}
