@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import backoff, bpe, media, packing, quality, simhash, substrings, suffixes
+from phasegrid.llm import backoff, bpe, embeddings, media, packing, quality, simhash, substrings, suffixes
 from phasegrid.llm.common import Scratch, documents
 
 
@@ -40,6 +40,10 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
+def op6_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(documents(spark, sf_dir), Scratch(spark))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_suffix_arrays": op3_suffix_arrays,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_sign_hashing": op6_sign_hashing,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_matroska": op8_matroska,
     "op9_stupid_backoff": op9_stupid_backoff,
