@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import backoff, bpe, embeddings, media, packing, quality, simhash, substrings, suffixes
+from phasegrid.llm import backoff, bpe, embeddings, lines, media, packing, quality, simhash, substrings, suffixes
 from phasegrid.llm.common import Scratch, documents
 
 
@@ -32,6 +32,10 @@ def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(documents(spark, sf_dir), Scratch(spark))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(documents(spark, sf_dir), Scratch(spark))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_suffix_arrays": op3_suffix_arrays,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_sign_hashing": op6_sign_hashing,
     "op7_repeated_passages": op7_repeated_passages,
