@@ -28,7 +28,7 @@ BLOCK_BYTES = 6_000_000
 #: Stands for a null doc_id inside a block; it sorts before all others.
 NO_ID = -(2**63)
 
-BLOCK_SCHEMA = "block long, n_docs long, raw long, ids binary, nulls binary, lens binary, body binary"
+BLOCK_SCHEMA = "block long, n_docs long, raw long, ids binary, nulls binary, lens binary, body binary, rest binary"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -73,40 +73,65 @@ def partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- blocks
 
 
-def _pack(block_bytes: int):
+def _pack(block_bytes: int, others: list[str]):
+    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.large_binary()] * 5
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        count, ids, texts, size = 0, [], [], 0
+        count, ids, texts, size, rest = 0, [], [], 0, []
         press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
-            nonlocal count, ids, texts, size
+            nonlocal count, ids, texts, size, rest
             lens = np.array([-1 if t is None else len(t) for t in texts], "<i8")
             row = [
                 (part << 32) + count, len(ids), size, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
                 np.packbits(lens < 0).tobytes(), np.maximum(lens, 0).tobytes(), press.compress(b"".join(t or b"" for t in texts)),
+                press.compress(_ipc(pa.Table.from_batches(rest))) if others else b"",
             ]
-            count, ids, texts, size = count + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.large_binary()] * 4, strict=True)], ["block", "n_docs", "raw", "ids", "nulls", "lens", "body"])
+            count, ids, texts, size, rest = count + 1, [], [], 0, []
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            start = 0
+            own = pa.RecordBatch.from_arrays(b.columns[2:], others) if others else None
+            for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 data = text.as_py()
                 data = None if data is None else data.encode()
                 ids.append(doc)
                 texts.append(data)
                 size += len(data or b"")
                 if size >= block_bytes:
+                    if others:
+                        rest.append(own.slice(start, k + 1 - start))
+                    start = k + 1
                     yield flush()
+            if others and start < b.num_rows:
+                rest.append(own.slice(start))
         if ids:
             yield flush()
 
     return run
 
 
-def to_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Blocks of whole documents as a table, and the raw bytes of all text."""
-    df = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def to_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> tuple[DataFrame, int]:
+    """Blocks of whole documents as a table, and the raw bytes of all text.
+
+    `whole_rows` carries every other column too, whatever its name, for `Block.rows`.
+    """
+    cols = [F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")]
+    others = [f"c{k}" for k in range(len(docs.columns))] if whole_rows else []
+    if whole_rows:  # the text's own column stays empty
+        cols += [(F.lit(None).cast("string") if c == text else F.col(f"`{c}`")).alias(n) for c, n in zip(docs.columns, others, strict=True)]
+    df = docs.select(*cols).mapInArrow(_pack(block_bytes, others), BLOCK_SCHEMA)
     blocks = scratch.keep(df, "blocks")
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     return blocks, raw
@@ -115,8 +140,8 @@ def to_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: s
 class Block:
     """A block read back: ids, nulls and the texts as bytes."""
 
-    def __init__(self, block: int, ids: bytes, nulls: bytes, lens: bytes, body: bytes):
-        self.block = block
+    def __init__(self, block: int, ids: bytes, nulls: bytes, lens: bytes, body: bytes, rest: bytes = b""):
+        self.block, self.rest = block, rest
         self.ids = np.frombuffer(ids, "<i8")
         n = len(self.ids)
         self.null = np.unpackbits(np.frombuffer(nulls, np.uint8), count=n).astype(bool)
@@ -131,15 +156,33 @@ class Block:
         for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
             yield self.body[a:b]
 
+    def rows(self, columns: list[str], new: dict[int, str], drop: set[int], text: str = "text", length: str = "n_chars") -> pa.Table:
+        """The whole rows, some with new texts (and their length), without the dropped ones."""
+        t = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self.rest)).read_all().rename_columns(columns)
+        texts = [new[k] if k in new else None if null else x.decode() for k, (null, x) in enumerate(zip(self.null.tolist(), self.texts(), strict=True))]
+        t = t.set_column(columns.index(text), text, pa.array(texts, pa.string()))
+        if length in columns and new:
+            at = columns.index(length)
+            n = [len(new[k]) if k in new else v for k, v in enumerate(t.column(at).to_pylist())]
+            t = t.set_column(at, t.schema.field(at), pa.array(n, t.schema.field(at).type))
+        return t.filter(pa.array([k not in drop for k in range(len(texts))])) if drop else t
+
     @classmethod
     def of(cls, table) -> list[Block]:
-        cols = [table.column(c).to_pylist() for c in ("block", "ids", "nulls", "lens", "body")]
+        cols = [table.column(c).to_pylist() for c in ("block", "ids", "nulls", "lens", "body", "rest")]
         return [cls(*row) for row in zip(*cols, strict=True)]
 
 
 MESSAGE = "bucket long, block long, blob binary"
 
 
+def row_schemas(docs: DataFrame):
+    """The schema of whole rows, for Spark and for Arrow."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return docs.schema, to_arrow_schema(docs.schema)
+
+
 def message_batch(bucket: list[int], block: list[int], blob: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "block", "blob"])
 
@@ -169,7 +212,7 @@ def answer(messages: DataFrame, work: Callable[[list[bytes]], list[bytes]], buck
     return messages.repartition(max(1, buckets), "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table | None], schema: str, empty: pa.Schema) -> DataFrame:
+def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table | None], schema, empty: pa.Schema) -> DataFrame:
     """`work` gets each block with the answers to what it sent."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import Block, Scratch, answer, components, frames, mix, pack_u64, partitions, receive, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import Block, Scratch, answer, components, frames, mix, pack_u64, partitions, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
 SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 30, 0.8, 16, 5, 400
 BINS = BANDS * ROWS
@@ -247,9 +247,9 @@ def _by_key(x: Lines, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, n
     return at, k[new], at[order[new]]
 
 
-def similar_lines(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_lines(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """`emit(lines, gone)` for each block; `gone` marks the lines to remove."""
-    blocks, raw = to_blocks(docs, scratch, doc_id, text)
+    blocks, raw = to_blocks(docs, scratch, doc_id, text, whole_rows=whole_rows)
     buckets = max(8, -(-raw // BUCKET_BYTES))
     found, root = line_components(blocks, buckets, scratch)
     message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
@@ -315,16 +315,13 @@ def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return similar_lines(docs, scratch, _digest, DIGEST, DIGEST_ARROW)
 
 
-CLEAN = "doc_id long, text string"
-CLEAN_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def clean(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without the lines; those left blank by that are dropped."""
+    columns = docs.columns
+    schema, arrow = row_schemas(docs)
 
+    def emit(x: Lines, gone: np.ndarray) -> pa.Table:
+        new = {k: t.decode() for k, (_, removed, t) in enumerate(_kept(x, gone)) if removed}
+        return x.block.rows(columns, new, {k for k, t in new.items() if not t.strip()}, text)
 
-def _clean(x: Lines, gone: np.ndarray) -> pa.Table:
-    rows = [(i, t.decode()) for i, (_, k, t) in zip(x.block.id_column().to_pylist(), _kept(x, gone), strict=True) if k]
-    i, t = zip(*rows, strict=True) if rows else ((), ())
-    return pa.table({"doc_id": pa.array(i, pa.int64()), "text": pa.array(t, pa.string())})
-
-
-def clean(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text) of the documents that lose lines."""
-    return similar_lines(docs, scratch, _clean, CLEAN, CLEAN_ARROW)
+    return similar_lines(docs, scratch, emit, schema, arrow, doc_id, text, whole_rows=True)

@@ -172,9 +172,28 @@ def score(found: DataFrame, model: Discriminant) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, score double")
 
 
+def train(found: DataFrame, labels: DataFrame) -> Discriminant:
+    """From vectors and the labels outside the held-out fold."""
+    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    return fit(found.where(~held_out()).join(known, "doc_id").select("x", "y"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     found = scratch.keep(vectors(docs, doc_id, text), "vectors")
-    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    model = fit(found.where(~held_out()).join(known, "doc_id").select("x", "y"))
+    model = train(found, labels)
     return score(found, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that score 0.5 or more, all columns unchanged."""
+    model = train(scratch.keep(vectors(docs, doc_id, text), "vectors"), labels)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(at)])
+                yield b.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

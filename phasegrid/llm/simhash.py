@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import Scratch, components, partitions
+from phasegrid.llm.common import MESSAGE, Block, Scratch, components, partitions, receive, row_schemas, to_blocks
 
 SEED = 42
 
@@ -91,14 +91,44 @@ def near_links(table: DataFrame, parts: int, segments: int = 2) -> DataFrame:
     return keys.repartition(parts, "key").mapInArrow(match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    found = scratch.keep(fingerprints(docs, words, doc_id, text), "fingerprints")
+def owners(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, component_id) of each fingerprint of (doc_id, fp, ...)."""
     table = scratch.keep(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep", "fp"), "table")
     # Keys for each partition are bounded: 65 for a fingerprint, about a million for a task.
-    parts = max(partitions(docs.sparkSession), -(-table.count() * 65 // 1_000_000))
+    parts = max(partitions(found.sparkSession), -(-table.count() * 65 // 1_000_000))
     root = components(near_links(table, parts), scratch)
-    owner = table.join(root, table["rep"] == root["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return table.join(root, table["rep"] == root["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    found = scratch.keep(fingerprints(docs, words, doc_id, text), "fingerprints")
     name = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return found.join(owner, "fp", "left").select("doc_id", name, own)
+    return found.join(owners(found, scratch), "fp", "left").select("doc_id", name, own)
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document, by doc_id, of each component, and those without a doc_id."""
+    blocks, _ = to_blocks(docs, scratch, doc_id, text, whole_rows=True)
+    columns = docs.columns
+    schema, arrow = row_schemas(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for b in Block.of(t):
+                fp = np.array([fingerprint(x, words) for x in b.texts()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(fp), pa.array(np.full(len(fp), b.block)), pa.array(np.arange(len(fp)))], ["doc_id", "fp", "block", "place"])
+
+    found = scratch.keep(blocks.mapInArrow(run, "doc_id long, fp long, block long, place long"), "fingerprints")
+    first = found.where("doc_id is not null").join(owners(found, scratch), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "place")).alias("k"))
+    stay = first.select("k.block", "k.place").union(found.where("doc_id is null").select("block", "place"))
+
+    def note(t: pa.Table) -> pa.Table:
+        return pa.table({"bucket": pa.array([0], pa.int64()), "block": t.column("block").slice(0, 1), "blob": pa.array([np.sort(t.column("place").to_numpy()).astype("<i8").tobytes()], pa.binary())})
+
+    def emit(b: Block, replies: dict[int, bytes]) -> pa.Table:
+        kept = set(np.frombuffer(replies.get(0, b""), "<i8").tolist())
+        return b.rows(columns, {}, {k for k in range(len(b.ids)) if k not in kept}, text)
+
+    return receive(blocks, stay.groupBy("block").applyInArrow(note, MESSAGE), emit, schema, arrow)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from phasegrid.llm.common import Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
 ANCHOR, WINDOW = 16, 35
 #: Text bytes for each bucket: about 4 MB of hashes and their answers.
@@ -155,9 +155,9 @@ def covered(s: Sequence, doomed: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def repeated_words(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, keep: str = "none", doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """`emit(block, sequence, gone)` for each block; `gone` marks the words to remove."""
-    blocks, raw = to_blocks(docs, scratch, doc_id, text)
+    blocks, raw = to_blocks(docs, scratch, doc_id, text, whole_rows=whole_rows)
     buckets = max(8, -(-raw // BUCKET_BYTES))
     first = keep == "first"
 
@@ -221,20 +221,18 @@ def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return repeated_words(docs, scratch, _digest, DIGEST, DIGEST_ARROW)
 
 
-CLEAN = "doc_id long, text string"
-CLEAN_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def clean(docs: DataFrame, scratch: Scratch, keep: str = "first", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without the words, the others joined by one space; those left without words are dropped."""
+    columns = docs.columns
+    schema, arrow = row_schemas(docs)
 
+    def emit(block: Block, s: Sequence, gone: np.ndarray) -> pa.Table:
+        new, drop = {}, set()
+        for k, (w, d) in enumerate(_kept(s, gone)):
+            if d.any():
+                new[k] = b" ".join([x for x, y in zip(w, d.tolist(), strict=True) if not y]).decode()
+                if d.all():
+                    drop.add(k)
+        return block.rows(columns, new, drop, text)
 
-def _clean(block: Block, s: Sequence, gone: np.ndarray) -> pa.Table:
-    """Texts that lose words: their other words joined by one space."""
-    ids, texts = [], []
-    for doc, (w, d) in zip(block.id_column().to_pylist(), _kept(s, gone), strict=True):
-        if d.any():
-            ids.append(doc)
-            texts.append(b" ".join([x for x, y in zip(w, d.tolist(), strict=True) if not y]).decode())
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
-
-
-def clean(docs: DataFrame, scratch: Scratch, keep: str = "first") -> DataFrame:
-    """(doc_id, text) of the documents that change."""
-    return repeated_words(docs, scratch, _clean, CLEAN, CLEAN_ARROW, keep)
+    return repeated_words(docs, scratch, emit, schema, arrow, keep, doc_id, text, whole_rows=True)
