@@ -34,9 +34,9 @@ from phasegrid.llm.common import CHUNK, Block, Scratch, answer, frames, minimize
 from phasegrid.llm.substrings import _shared
 
 ANCHOR, WINDOW = 24, 50
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 #: Raw text for each shard, and the most bytes that one suffix array sorts.
-SHARD_TEXT, ARRAY_BYTES = 6_000_000, 2_000_000
+SHARD_TEXT, ARRAY_BYTES = 3_000_000, 600_000
 NEVER = np.iinfo(np.int64).max
 
 #: A number for each byte value.
@@ -238,41 +238,54 @@ def windows_at(t: bytes, places: np.ndarray, window: int = WINDOW) -> np.ndarray
     return np.ascontiguousarray(view[places]).view(f"S{window}").ravel()
 
 
-def solve_shard(anchors: np.ndarray, texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
+def solve_shard(anchors: np.ndarray, texts: list[bytes], least: np.ndarray, array_bytes: int = ARRAY_BYTES) -> list[np.ndarray]:
     """For each different text (sorted by anchor) the smallest doc_id of each of its windows."""
     out: list[np.ndarray] = [np.full(len(t) - WINDOW + 1, d) for t, d in zip(texts, least.tolist(), strict=True)]
-    _, group, size = np.unique(anchors, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(size[group] > 1)  # a lone text's windows occur nowhere else
-    arrays, held, room = [], [], 0
-    for k in several.tolist():
-        held.append(k)
-        room += len(texts[k]) + 1
-        if room >= ARRAY_BYTES:
-            arrays.append(held)
-            held, room = [], 0
-    if held:
-        arrays.append(held)
-    cut = {group[a[-1]] for a, b in zip(arrays, arrays[1:], strict=False) if group[a[-1]] == group[b[0]]}
-    merged = []
-    for held in arrays:
-        own = [texts[k] for k in held]
-        docs, firsts, best = least_documents(own, least[held])
+    edges = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1], [True]])).tolist()
+
+    def solve(held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        docs, firsts, best = least_documents([texts[k] for k in held], least[held])
         at = 0
         for k in held:
-            n = len(texts[k]) - WINDOW + 1
-            out[k] = docs[at : at + n]
-            at += n
-        if cut:
-            merged.append((windows_at(b"\xff".join(own) + b"\xff", firsts), best))
-    if cut:
-        # Merge the arrays' sorted strings: each is sought in the others' by binary search.
-        table = np.unique(np.concatenate([x for x, _ in merged]))
-        best = np.full(len(table), NEVER)
-        for x, docs in merged:
-            np.minimum.at(best, np.searchsorted(table, x), docs)
-        for k in several.tolist():
-            if group[k] in cut:
-                out[k] = best[np.searchsorted(table, windows_at(texts[k], np.arange(len(out[k]))))]
+            out[k] = docs[at : at + len(out[k])].copy()
+            at += len(out[k])
+        return firsts, best
+
+    held, room = [], 0
+    for a, z in zip(edges, edges[1:], strict=False):
+        if z - a < 2:
+            continue  # a lone text's windows occur nowhere else
+        size = sum(len(texts[k]) + 1 for k in range(a, z))
+        if held and room + size > array_bytes:
+            solve(held)
+            held, room = [], 0
+        if size <= array_bytes:
+            held += range(a, z)
+            room += size
+            continue
+        # One anchor's texts in several arrays: sorted strings of each are sought
+        # in the merged table by binary search.
+        parts, part, room_ = [], [], 0
+        for k in range(a, z):
+            part.append(k)
+            room_ += len(texts[k]) + 1
+            if room_ > array_bytes:
+                parts.append(part)
+                part, room_ = [], 0
+        parts += [part] if part else []
+        table, best = np.zeros(0, f"S{WINDOW}"), np.zeros(0, np.int64)
+        for part in parts:
+            firsts, docs = solve(part)
+            own = windows_at(b"\xff".join([texts[k] for k in part]) + b"\xff", firsts)
+            merged = np.unique(np.concatenate([table, own]))
+            low = np.full(len(merged), NEVER)
+            low[np.searchsorted(merged, table)] = best
+            np.minimum.at(low, np.searchsorted(merged, own), docs)
+            table, best = merged, low
+        for k in range(a, z):
+            out[k] = best[np.searchsorted(table, windows_at(texts[k], np.arange(len(out[k]))))]
+    if held:
+        solve(held)
     return out
 
 
