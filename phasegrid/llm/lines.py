@@ -78,16 +78,16 @@ def signatures(lines: list[bytes]) -> np.ndarray:
         np.minimum.at(flat, line * BINS + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64), h)
         at = to
     rows = np.flatnonzero((out == EMPTY).any(1))
-    kept = out[rows]
-    filled = kept.copy()
+    kept = out[rows]  # only these rows, and of these ever fewer, have gaps
     for probe in PROBES:
-        gap = filled == EMPTY
-        if not gap.any():
+        if not len(rows):
             break
-        filled = np.where(gap, kept[:, probe], filled)
-    least = kept.min(1)
-    filled = np.where(filled == EMPTY, least[:, None], filled)
-    out[rows] = filled
+        now = out[rows]
+        now = np.where(now == EMPTY, kept[:, probe], now)
+        out[rows] = now
+        open_ = (now == EMPTY).any(1)
+        rows, kept = rows[open_], kept[open_]
+    out[rows] = np.where(out[rows] == EMPTY, kept.min(1)[:, None], out[rows])
     return out
 
 
@@ -136,46 +136,58 @@ CANDIDATES = "block long, line long, keys array<long>, text binary"
 CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
-def similar(a: frozenset, b: frozenset) -> bool:
+def similar(a: set, b: set) -> bool:
     both = len(a & b)
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def shingles(line: bytes) -> frozenset:
+def shingles(line: bytes) -> set:
     s = line.decode()
-    return frozenset(s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1))
+    return {s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1)}
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of one partition: edges between lines that are similar and not yet connected."""
+    """Groups of one partition: edges between lines that are similar and not yet connected here.
+
+    Groups with the same smallest line are in one partition, so most of what a
+    further band repeats is connected already and never compared again.
+    """
     t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if t is None or not t.num_rows:
         return
-    key, pair, tile, line = (t.column(c).to_numpy() for c in ("key", "pair", "tile", "line"))
-    order = np.lexsort((line, tile, pair, key))
-    edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0), [True]]))
+    lead, key, pair, tile, line = (t.column(c).to_numpy() for c in ("lead", "key", "pair", "tile", "line"))
+    order = np.lexsort((line, tile, pair, key, lead))
+    change = (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0)
+    edge = np.flatnonzero(np.concatenate([[True], change, [True]]))
     text, a_out, b_out = t.column("text"), [], []
+    root: dict[int, int] = {}
+    sets: dict[int, set] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def of(name: int, row: int) -> set:
+        if name not in sets:
+            if len(sets) > 5_000:
+                sets.clear()
+            sets[name] = shingles(text[row].as_py())
+        return sets[name]
+
     for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if z - a < 2:
             continue
         rows = order[a:z]
-        sets = [shingles(x) for x in text.take(pa.array(rows)).to_pylist()]
-        own_tile, names = tile[rows].tolist(), line[rows].tolist()
+        at, names, own_tile = rows.tolist(), line[rows].tolist(), tile[rows].tolist()
         one = pair[rows[0]] >> 20 == pair[rows[0]] & (1 << 20) - 1
-        root = list(range(len(rows)))
-
-        def find(x: int, root=root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if (one or own_tile[i] != own_tile[j]) and (p := find(i)) != (q := find(j)) and similar(sets[i], sets[j]):
-                    root[max(p, q)] = min(p, q)
-                    a_out.append(names[i])
-                    b_out.append(names[j])
+        for i, p in enumerate(names):
+            for j in range(i + 1, len(names)):
+                q = names[j]
+                if (one or own_tile[i] != own_tile[j]) and (x := find(p)) != (y := find(q)) and similar(of(p, at[i]), of(q, at[j])):
+                    root[max(x, y)] = min(x, y)
+                    a_out.append(p)
+                    b_out.append(q)
     yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
@@ -205,13 +217,13 @@ def line_components(blocks: DataFrame, buckets: int, scratch: Scratch) -> tuple[
     lines = found.groupBy("line").agg(F.first("keys").alias("keys"), F.first("text").alias("text"))
     lines = scratch.keep(lines, "lines")
     rows = lines.select("line", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
-    once = groups.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum"), F.min("line").alias("lead")).where("n > 1")
+    once = groups.groupBy("n", "sum").agg(F.min(F.struct("key", "lead")).alias("k")).select("k.key", "k.lead", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
     dealt = rows.join(once, "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
-    dealt = dealt.select("key", pair, "tile", "line").join(lines.select("line", "text"), "line")
-    edges = dealt.repartition(partitions(blocks.sparkSession), "key", "pair").mapInArrow(_verify, "a long, b long")
+    dealt = dealt.select("lead", "key", pair, "tile", "line").join(lines.select("line", "text"), "line")
+    edges = dealt.repartition(partitions(blocks.sparkSession), "lead", "pair").mapInArrow(_verify, "a long, b long")
     return found, components(edges, scratch)
 
 
