@@ -78,7 +78,7 @@ def relax(edges: DataFrame, dist: DataFrame) -> DataFrame:
 def network_nodes(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Start of the relaxation: every node and the ground at distance 0."""
     n = (shape[0] - 1) * (shape[1] - 1)
-    return df.select("scene").distinct().select("scene", F.explode(F.sequence(F.lit(0), F.lit(n))).cast("long").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return df.select("scene").distinct().select("scene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("node"), F.lit(0).cast("long").alias("dist"))
 
 
 def cancel_cycles(arcs: DataFrame, shape: tuple[int, int], model: CostModel = CostModel(), flow: str = "flow") -> DataFrame:
