@@ -32,7 +32,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: version since 6.0 agrees; other texts are split by the reference library.
 SETTLED = re.compile("[\x00-ɏΑ-ΡΣ-ωА-я‐-‧‰-›€ぁ-ゖァ-ヺ一-龥]*")
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -116,14 +116,14 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Whole texts to ids.  `of_words(list of words)` may replace the merging."""
+    """Whole texts to ids; `chunks.encode` may be another encoder of text without inner spaces."""
 
-    def __init__(self, path: str, of_chunk=None):
+    def __init__(self, path: str):
         self.path, self.vocab = path, Vocabulary(path)
         self.split = regex.compile(WORDS)
         self.special = re.compile("|".join(map(re.escape, sorted(self.vocab.specials, key=len, reverse=True)))) if self.vocab.specials else None
         self.words = _Chunks(lambda w: array("I", self.vocab.merge(w.encode())).tobytes())
-        self.chunks = _Chunks(of_chunk or self._chunk)
+        self.chunks = _Chunks(self._chunk)
         self._library = None
 
     def _chunk(self, chunk: str) -> bytes:
@@ -193,7 +193,9 @@ def encoder(path: str, kind: str = "merge") -> Encoder:
         else:
             from phasegrid.llm.packing import ranked_chunks
 
-            _ENCODERS[path, kind] = Encoder(path, ranked_chunks(path))
+            own = Encoder(path)
+            own.chunks.encode = ranked_chunks(own.vocab)
+            _ENCODERS[path, kind] = own
     return _ENCODERS[path, kind]
 
 

@@ -12,6 +12,8 @@ number of copies of a text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused and executors are small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only this C library has it
+        pass
+
+
 class Scratch:
     """Tables under the shared checkpoint folder; `drop` removes the spent ones."""
 
@@ -53,8 +64,14 @@ class Scratch:
         path = f"{self.root}/{name}-{len(self.tables)}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.tables[name] = path
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished plans: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
@@ -196,6 +213,8 @@ def send(blocks: DataFrame, work: Callable[[Block], Iterator[tuple[int, bytes]]]
                 out = list(work(block))
                 if out:
                     yield message_batch([b for b, _ in out], [block.block] * len(out), [x for _, x in out])
+                del out
+        trim()
 
     return blocks.mapInArrow(run, MESSAGE)
 
@@ -207,6 +226,7 @@ def answer(messages: DataFrame, work: Callable[[list[bytes]], list[bytes]], buck
         order = np.argsort(t.column("block").to_numpy(), kind="stable")
         t = t.take(pa.array(order))
         blobs = work(t.column("blob").to_pylist())
+        trim()
         return pa.table({"bucket": t.column("bucket"), "block": t.column("block"), "blob": pa.array(blobs, pa.binary())})
 
     return messages.repartition(max(1, buckets), "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -218,6 +238,7 @@ def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[i
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
         out = [x for b in Block.of(left) if (x := work(b, replies)) is not None]
+        trim()
         return pa.concat_tables(out).cast(empty) if out else empty.empty_table()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Operator 3: repeated byte strings by suffix arrays.
 
 Every 50-byte string of the corpus is named by a winnowed anchor (the smallest
-hash of 24 bytes in it).  Anchors that only one document holds are settled by a
+hash of 20 bytes in it).  Anchors that only one document holds are settled by a
 count over the corpus.  The text round each shared anchor - all the 50-byte
 strings that it names - goes to the shard of the anchor's hash, once for each
 block of documents and different content, with the smallest doc_id that has it.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from phasegrid.llm.common import CHUNK, Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 from phasegrid.llm.substrings import _shared
 
-ANCHOR, WINDOW = 24, 50
+ANCHOR, WINDOW = 20, 50
 BLOCK = 2_000_000
 #: Raw text for each shard, and the most bytes that one suffix array sorts.
 SHARD_TEXT, ARRAY_BYTES = 3_000_000, 600_000
@@ -97,7 +97,7 @@ def _send_seeds(shards: int):
 
 
 def _squeeze(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=3).compress(x)
 
 
 def _open(x: bytes) -> bytes:
@@ -380,7 +380,10 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow:
     message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
     seeds = scratch.keep(answer(send(blocks, _send_seeds(shards)), _shared, shards), "seeds")
     asked = scratch.keep(receive(blocks, seeds, _contexts(shards), "bucket long, block long, blob binary", message), "contexts")
-    solved = answer(asked.where("bucket >= 0"), _shard, shards).union(asked.where("bucket < 0"))
+    own = scratch.keep(asked.where("bucket < 0"), "own")
+    solved = scratch.keep(answer(asked.where("bucket >= 0"), _shard, shards), "solved")
+    scratch.drop("seeds", "contexts")
+    solved = solved.union(own)
     return receive(blocks, solved, lambda block, replies: emit(block, _doomed(block, replies)), schema, arrow)
 
 
