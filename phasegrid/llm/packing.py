@@ -3,9 +3,9 @@
 Documents become pieces of at most `capacity` tokens; full pieces fill a
 sequence each.  The rest is packed by best-fit decreasing inside partitions.
 Dual-feasible functions give each partition a lower bound: one whose bin count
-equals the bound is certified and left alone.  The others break their bins that
-have gaps, exchange the documents (a new deal over fewer partitions) and rerun
-best-fit decreasing; a round's result is taken only if it saves bins.  Rounds
+equals the bound is certified and left alone.  The others break their bins with
+the widest gaps, exchange the documents (a new deal over fewer partitions) and
+rerun best-fit decreasing; a round's result is taken only if it saves bins.  Rounds
 end when the total meets the bound of all pieces, or none saves a bin.
 
 Cases: null and empty texts are the end token alone; equal texts are separate
@@ -29,18 +29,17 @@ from phasegrid.llm.common import Scratch
 
 #: Pieces that one partition packs, about.
 GROUP = 50_000
-ROUNDS = 6
+ROUNDS = 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def ranked_chunks(path: str):
+def ranked_chunks(v: Vocabulary):
     """A chunk's ids by tiktoken over the file's vocabulary (the same merges as ranks)."""
     import tiktoken
 
     from phasegrid.llm.bpe import WORDS
 
-    v = Vocabulary(path)
     special = set(v.specials.values())
     ranks = {b: i for i, b in enumerate(v.bytes) if i not in special and b}
     code = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
@@ -158,18 +157,27 @@ def pack(found: DataFrame, scratch: Scratch, capacity: int = 1024) -> DataFrame:
     used, done, turn = bins(placed), [], 0
     while used > goal and turn < ROUNDS:
         turn += 1
-        gaps = (F.col("fill") < capacity) & ~F.col("certified")
+        # The bins with the widest gaps move, about a quarter of the pieces, so
+        # each new partition gathers what several could not close.
+        open_ = (F.col("fill") < capacity) & ~F.col("certified")
+        fills = placed.where(open_).groupBy("fill").agg(F.count("*").alias("n")).orderBy("fill").collect()  # at most `capacity` rows
+        room, rows, most = max(GROUP, sum(r["n"] for r in fills) // 4), 0, 0
+        for r in fills:
+            if rows and rows + r["n"] > room:
+                break
+            rows, most = rows + r["n"], r["fill"]
+        gaps = open_ & (F.col("fill") <= most)
         moving = placed.where(gaps)
-        rows, before = moving.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
-        if not before or moving.select("part").distinct().limit(2).count() < 2:
+        if not rows or moving.select("part").distinct().limit(2).count() < 2:
             break
+        before = bins(moving)
         again = scratch.keep(deal(moving, rows, turn), f"packed{turn}")
         after = bins(again)
         if after >= before:
             break
         done.append((turn - 1, placed.where(~gaps)))
         placed, used = again, used - before + after
-    done.append((turn + ROUNDS, placed))
+    done.append((turn, placed))
     out = full
     for k, df in done:
         number = F.lit(k << 56) + F.shiftleft("part", 24) + F.col("bin")
