@@ -139,7 +139,7 @@ def links(different: DataFrame, n: int, cosine: float = COSINE, recall: float =
             return
         key, pair, tile, rep, copies = (t.column(c).to_numpy() for c in ("key", "pair", "tile", "rep", "copies"))
         order = np.lexsort((rep, tile, pair, key))
-        v, code = t.column("v"), t.column("code")
+        v, code = t.column("v").to_pylist(), t.column("code").to_pylist()
         edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0), [True]]))
         out: list[list[np.ndarray]] = [[], [], []]
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -147,8 +147,8 @@ def links(different: DataFrame, n: int, cosine: float = COSINE, recall: float =
                 continue
             rows = order[a:z]
             d, table = int(key[rows[0]] >> 40), int(key[rows[0]] >> 20 & (1 << 20) - 1)
-            x = np.frombuffer(b"".join(v.take(pa.array(rows)).to_pylist()), "<f8").reshape(-1, d)
-            c = np.frombuffer(b"".join(code.take(pa.array(rows)).to_pylist()), "<i4").reshape(len(rows), -1)
+            x = np.frombuffer(b"".join([v[k] for k in rows.tolist()]), "<f8").reshape(-1, d)
+            c = np.frombuffer(b"".join([code[k] for k in rows.tolist()]), "<i4").reshape(len(rows), -1)
             ids, n_copies = rep[rows], copies[rows]
             sides = np.flatnonzero(tile[rows] != tile[rows[0]])
             split = int(sides[0]) if len(sides) else len(rows)
