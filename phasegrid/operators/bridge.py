@@ -8,12 +8,14 @@ driver, never pixels.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.functions.phase import TWO_PI, packed_distance, ramp_terms
+from phasegrid.functions.phase import TWO_PI, ramp_terms
 from phasegrid.operators.components import compact, label_runs
 from phasegrid.operators.graph import written
 from phasegrid.operators.grid import along
@@ -114,25 +116,45 @@ def sample_boundary(points: DataFrame, cap: int = 4096) -> DataFrame:
     return points.withColumn("local", F.call_function("div", F.col("_k"), F.col("_s")).cast("int")).where(F.col("local") < cap).drop("_k", "_s")
 
 
+PAIRS = "scene string, li long, lj long, q long, y0 int, x0 int, y1 int, x1 int"
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of point lists the closest points, both ways; of equals the first by (i, j)."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            (y0, x0), (y1, x1) = (np.array(r[k], np.int64).reshape(-1, 2).T for k in ("p", "s"))
+            best, back = None, None
+            for a in range(0, len(y0), 512):  # a few MB at a time
+                d = (y0[a : a + 512, None] - y1) ** 2 + (x0[a : a + 512, None] - x1) ** 2
+                q = np.floor(np.sqrt(d.astype(float)) * 64).astype(np.int64)
+                low = int(q.min())
+                i, j = np.unravel_index(int(q.argmin()), q.shape)
+                best = min(best or (low, a + i, j), (low, a + i, j))
+                j, i = np.unravel_index(int(q.T.argmin()), q.T.shape)
+                back = min(back or (low, j, a + i), (low, j, a + i))
+            q, i, j = best
+            out.append((r["scene"], r["li"], r["lj"], q, y0[i], x0[i], y1[j], x1[j]))
+            q, j, i = back
+            out.append((r["scene"], r["lj"], r["li"], q, y1[j], x1[j], y0[i], x0[i]))
+        if out:
+            kinds = [pa.string(), *[pa.int64()] * 3, *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
+
+
 def nearest_pairs(points: DataFrame) -> DataFrame:
-    """(scene, li, lj, q, y0, x0, y1, x1): the closest points of each ordered pair of regions.
+    """(scene, li, lj, q, y0, x0, y1, x1): the closest sample points of each ordered pair of regions.
 
-    Regions are joined in pairs; for each point only the nearest point of a
-    line of the other region can count, so the candidates of a region are the
-    points sorted along lines: the join carries boundary samples, bounded by
-    the cap for each region.
+    A region is one row with its sample (bounded by the cap), so the join has a
+    row for two regions and no row for two points.
     """
-    a = points.select("scene", F.col("label").alias("li"), F.col("row").alias("y0"), F.col("col").alias("x0"), F.col("local").alias("i"))
-    b = points.select("scene", F.col("label").alias("lj"), F.col("row").alias("y1"), F.col("col").alias("x1"), F.col("local").alias("j"))
-    pairs = a.join(b, "scene").where("li < lj")
-    forward = packed_distance(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), "i", "j")
-    both = pairs.select("scene", "li", "lj", "y0", "x0", "y1", "x1", forward.alias("k"))
-    end = F.struct("k.q", "k.i", "k.j", "y0", "x0", "y1", "x1")
-    back = F.struct("k.q", F.col("k.j").alias("i"), F.col("k.i").alias("j"), "y0", "x0", "y1", "x1")
-    best = both.groupBy("scene", "li", "lj").agg(F.min(end).alias("f"), F.min(back).alias("b"))
-    one = best.select("scene", "li", "lj", "f.q", "f.y0", "f.x0", "f.y1", "f.x1")
-    two = best.select("scene", F.col("lj").alias("li"), F.col("li").alias("lj"), "b.q", F.col("b.y1").alias("y0"), F.col("b.x1").alias("x0"), F.col("b.y0").alias("y1"), F.col("b.x0").alias("x1"))
-    return one.unionByName(two)
+    sample = F.transform(F.array_sort(F.collect_list(F.struct("local", "row", "col"))), lambda e: F.array(e["row"], e["col"]))
+    regions = points.groupBy("scene", "label").agg(F.flatten(sample).alias("points"))
+    a = regions.select("scene", F.col("label").alias("li"), F.col("points").alias("p"))
+    b = regions.select("scene", F.col("label").alias("lj"), F.col("points").alias("s"))
+    pairs = a.join(b, "scene").where("li < lj").select("scene", "li", "lj", "p", "s")
+    return pairs.repartition("scene", "li", "lj").mapInArrow(_closest, PAIRS)
 
 
 def spanning_tree(pairs: dict[tuple[int, int], int], n: int, root: int) -> list[tuple[int, int]]:

@@ -6,10 +6,9 @@ Doubles are rounded to 6 places where they are returned.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.functions import phase as P
@@ -104,12 +103,10 @@ arcs AS (SELECT axis, r, c, CASE WHEN w = 0 THEN 16000 ELSE greatest(-32768, lea
 
 def incr_sql(flow: str, source: str = "arcs") -> str:
     """poscost and negcost at a flow, step 1."""
-    one = lambda s: f"CASE WHEN sigsq = 32000 THEN 0 ELSE greatest(-32000, least(32000, (({flow} {s} 1) * 200 + \"offset\") ** 2 // sigsq - (({flow}) * 200 + \"offset\") ** 2 // sigsq)) END"
     # Whole-number arithmetic: squares by multiplication.
     sq = lambda e: f"(({e}) * ({e}))"
     z = f'(({flow}) * 200 + "offset")'
     up, down = f'(({flow} + 1) * 200 + "offset")', f'(({flow} - 1) * 200 + "offset")'
-    del one
     cost = lambda e: f"CASE WHEN sigsq = 32000 THEN 0 ELSE greatest(-32000, least(32000, {sq(e)} // sigsq - {sq(z)} // sigsq)) END"
     return f"*, CAST({cost(up)} AS SMALLINT) AS poscost, CAST({cost(down)} AS SMALLINT) AS negcost"
 
@@ -215,7 +212,7 @@ def mirror_pad(spark, sf_dir):
     return grid.mirror_pad(raster(spark, sf_dir), "col", 64, 3).select("row", "col", r6("psi").alias("psi"))
 
 
-@query(f"""WITH {PX}, {boxcar_sql('px', 'a', 'psi', _NR, _NC)} SELECT r AS "row", c AS "col", round(average, 6) + 0.0 AS average FROM a""")
+@query(f"""WITH {PX}, {boxcar_sql('px', 'a', 'psi', _NR, _NC)} SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", round(average, 6) + 0.0 AS average FROM a""")
 def boxcar(spark, sf_dir):
     """7 x 7 average."""
     return grid.boxcar(raster(spark, sf_dir), "psi", raster_shape(spark, sf_dir), (3, 3)).select("row", "col", r6("psi").alias("average"))
@@ -479,27 +476,27 @@ def tile_split(spark, sf_dir):
     return tiles.split(raster(spark, sf_dir), raster_shape(spark, sf_dir), NT, OV).select("tr", "tc", "row", "col")
 
 
-def _offset_sql(k: str, other: str, final: str) -> str:
+def _offset_sql(k: str) -> str:
     me = {"h": ("tc", "tr"), "v": ("tr", "tc")}[k]
     return f"""{k}p AS (SELECT b.tr, b.tc, a.unw - b.unw AS d, least(a.corr, b.corr) AS w FROM tp a JOIN tp b ON b.{me[0]} = a.{me[0]} + 1 AND b.{me[1]} = a.{me[1]} AND a.r = b.r AND a.c = b.c WHERE a.corr >= 0.05 AND a.mask),
 {k}m AS (SELECT tr, tc, min(d) FILTER (acc >= tot / 2) AS m FROM (SELECT tr, tc, d, sum(w) OVER (PARTITION BY tr, tc ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc, sum(w) OVER (PARTITION BY tr, tc) AS tot FROM {k}p) GROUP BY tr, tc)"""
 
 
-@query(f"""WITH {_GEO}, {_offset_sql('h', '', '')} SELECT CAST(tr AS INTEGER) AS tr, CAST(tc AS INTEGER) AS tc, round(m / (2 * pi()), 6) + 0.0 AS cycles FROM hm""")
+@query(f"""WITH {_GEO}, {_offset_sql('h')} SELECT CAST(tr AS INTEGER) AS tr, CAST(tc AS INTEGER) AS tc, round(m / (2 * pi()), 6) + 0.0 AS cycles FROM hm""")
 def horiz_offset(spark, sf_dir):
     """Fractional."""
     t = tiles.neighbour_offsets(_tiled(spark, sf_dir), raster_shape(spark, sf_dir), NT, OV, "horizontal", True)
     return t.select("tr", "tc", r6("cycles").alias("cycles"))
 
 
-@query(f"""WITH {_GEO}, {_offset_sql('v', '', '')} SELECT CAST(tr AS INTEGER) AS tr, CAST(tc AS INTEGER) AS tc, round(m / (2 * pi())) + 0.0 AS cycles FROM vm""")
+@query(f"""WITH {_GEO}, {_offset_sql('v')} SELECT CAST(tr AS INTEGER) AS tr, CAST(tc AS INTEGER) AS tc, round(m / (2 * pi())) + 0.0 AS cycles FROM vm""")
 def vert_offset(spark, sf_dir):
     """Rounded."""
     t = tiles.neighbour_offsets(_tiled(spark, sf_dir), raster_shape(spark, sf_dir), NT, OV, "vertical", False)
     return t.select("tr", "tc", (F.col("cycles") + 0.0).alias("cycles"))
 
 
-_TILE_K = f"""{_GEO}, {_offset_sql('h', '', '')}, {_offset_sql('v', '', '')},
+_TILE_K = f"""{_GEO}, {_offset_sql('h')}, {_offset_sql('v')},
 tk AS (SELECT t.tr, t.tc, (SELECT coalesce(sum(round(m / (2 * pi()))), 0) FROM hm WHERE hm.tr = 0 AND hm.tc <= t.tc) + (SELECT coalesce(sum(round(m / (2 * pi()))), 0) FROM vm WHERE vm.tc = t.tc AND vm.tr <= t.tr) AS k FROM tiles t)"""
 
 
@@ -536,12 +533,25 @@ def tile_merge(spark, sf_dir):
 # ---------------------------------------------------------------- seams, spikes
 
 SEAM = 31
-_PROFILE = f"""{PX}, sm AS (SELECT r, c, unw, mask AND (r % 170 < 60) AS mask FROM px),
-prof AS (SELECT l.r AS line, CASE WHEN l.mask AND q.mask THEN l.unw - q.unw END AS diff FROM sm l JOIN sm q ON q.r = l.r AND q.c = {SEAM} WHERE l.c = {SEAM - 1}),
-med AS (SELECT line, CASE WHEN diff IS NOT NULL THEN (SELECT list_sort(list(q.diff))[count(q.diff) // 2 + 1] FROM prof q WHERE q.line BETWEEN p.line - 10 AND p.line + 10 AND q.diff IS NOT NULL) END AS diff FROM prof p),
-near AS (SELECT line, diff, last_value(CASE WHEN diff IS NOT NULL THEN line END IGNORE NULLS) OVER (ORDER BY line) AS a, last_value(diff IGNORE NULLS) OVER (ORDER BY line) AS x,
-first_value(CASE WHEN diff IS NOT NULL THEN line END IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, first_value(diff IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM med),
-filled AS (SELECT line, CASE WHEN diff IS NOT NULL THEN diff WHEN b - a <= 84 THEN x + (line - a) / CAST(b - a AS DOUBLE) * (y - x) WHEN line - a <= 42 THEN x * (1 - (line - a) / 42.0::DOUBLE) WHEN b - line <= 42 THEN y * (1 - (b - line) / 42.0::DOUBLE) END AS diff FROM near)"""
+
+
+def _profile_sql(src: str, p: str, line: str, across: str, place: str) -> str:
+    """prof, med, near and filled of one seam of `src`, names prefixed by p."""
+    return f"""
+{p}prof AS (SELECT l.{line} AS line, CASE WHEN l.mask AND q.mask THEN l.unw - q.unw END AS diff FROM {src} l JOIN {src} q ON q.{line} = l.{line} AND q.{across} = {place} WHERE l.{across} = {place} - 1),
+{p}med AS (SELECT line, CASE WHEN diff IS NOT NULL THEN (SELECT list_sort(list(q.diff))[count(q.diff) // 2 + 1] FROM {p}prof q WHERE q.line BETWEEN p.line - 10 AND p.line + 10 AND q.diff IS NOT NULL) END AS diff FROM {p}prof p),
+{p}near AS (SELECT line, diff, last_value(CASE WHEN diff IS NOT NULL THEN line END IGNORE NULLS) OVER (ORDER BY line) AS a, last_value(diff IGNORE NULLS) OVER (ORDER BY line) AS x,
+first_value(CASE WHEN diff IS NOT NULL THEN line END IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, first_value(diff IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM {p}med),
+{p}filled AS (SELECT line, CASE WHEN diff IS NOT NULL THEN diff WHEN b - a <= 84 THEN x + (line - a) / CAST(b - a AS DOUBLE) * (y - x) WHEN line - a <= 42 THEN x * (1 - (line - a) / 42.0::DOUBLE) WHEN b - line <= 42 THEN y * (1 - (b - line) / 42.0::DOUBLE) END AS diff FROM {p}near)"""
+
+
+def _apply_sql(src: str, p: str, line: str, across: str, place: str) -> str:
+    return f"""{p}out AS (SELECT r, c, mask, CASE WHEN diff IS NOT NULL AND mask AND {across} >= {place} AND {across} < {place} + 20 THEN unw + diff * (1 - ({across} - {place}) / 20.0::DOUBLE) ELSE unw END AS unw FROM {src} JOIN {p}filled ON line = {line})"""
+
+
+_SM = f"{PX}, sm AS (SELECT r, c, unw, mask AND (r % 170 < 60) AS mask FROM px)"
+_PROFILE = f"{_SM}, {_profile_sql('sm', '', 'r', 'c', str(SEAM))}"
+_MIDDLE = "((SELECT nr FROM n) - 8) // 2 + 4"
 
 
 def _seam(spark, sf_dir) -> DataFrame:
@@ -560,7 +570,7 @@ def seam_fill(spark, sf_dir):
     return seams.fill_gaps(seams.moving_median(seams.seam_profile(_seam(spark, sf_dir), SEAM))).select("line", r6("diff").alias("diff"))
 
 
-@query(f"""WITH {_PROFILE} SELECT r AS "row", c AS "col", round(CASE WHEN diff IS NOT NULL AND mask AND c >= {SEAM} AND c < {SEAM + 20} THEN unw + diff * (1 - (c - {SEAM}) / 20.0::DOUBLE) ELSE unw END, 6) + 0.0 AS unw FROM sm JOIN filled ON line = r""")
+@query(f"""WITH {_PROFILE}, {_apply_sql('sm', '', 'r', 'c', str(SEAM))} SELECT r AS "row", c AS "col", round(unw, 6) + 0.0 AS unw FROM out""")
 def seam_apply(spark, sf_dir):
     """One column seam."""
     df = _seam(spark, sf_dir)
@@ -568,14 +578,27 @@ def seam_apply(spark, sf_dir):
     return out.select("row", "col", r6("unw").alias("unw"))
 
 
-@query()
+@query(f"""WITH {_SM}, {_profile_sql('sm', 'c', 'r', 'c', '32')}, {_apply_sql('sm', 'c', 'r', 'c', '32')}, {_profile_sql('cout', 'r', 'c', 'r', f'({_MIDDLE})')}, {_apply_sql('cout', 'r', 'c', 'r', f'({_MIDDLE})')}
+SELECT r AS "row", c AS "col", round(unw, 6) + 0.0 AS unw FROM rout""")
 def neighbour_feedback(spark, sf_dir):
     """All seams of two by two tiles, in order."""
     out = seams.neighbour_feedback(_seam(spark, sf_dir), raster_shape(spark, sf_dir), (2, 2), (8, 8), 20)
     return out.select("row", "col", r6("unw").alias("unw"))
 
 
-_MED = """lm AS (SELECT r AS line, CASE WHEN count(*) FILTER (mask) > 20 THEN (list_sort(list(unw) FILTER (mask)))[count(*) FILTER (mask) // 2 + 1] END AS median FROM px GROUP BY r)"""
+
+def _median_sql(src: str, name: str, line: str) -> str:
+    return f"""{name} AS (SELECT {line} AS line, CASE WHEN count(*) FILTER (mask) > 20 THEN (list_sort(list(unw) FILTER (mask)))[count(*) FILTER (mask) // 2 + 1] END AS median FROM {src} GROUP BY {line})"""
+
+
+def _spike_sql(lm: str, sp: str) -> str:
+    return f"""{sp}(line, last, n) AS (SELECT line, median, CAST(0 AS DOUBLE) FROM {lm} WHERE line = 0 UNION ALL
+SELECT line, here - 2 * pi() * n, n FROM (SELECT h.line, h.median AS here, CASE WHEN round((h.median - s.last) / (2 * pi())) <> 0 AND a.line IS NOT NULL AND round((h.median - s.last) / (2 * pi())) = round((h.median - a.median) / (2 * pi()))
+AND abs(h.median - s.last - 2 * pi() * round((h.median - s.last) / (2 * pi()))) <= 0.5 AND abs(h.median - a.median - 2 * pi() * round((h.median - a.median) / (2 * pi()))) <= 0.5
+THEN round((h.median - s.last) / (2 * pi())) ELSE CAST(0 AS DOUBLE) END AS n FROM {sp} s JOIN {lm} h ON h.line = s.line + 1 LEFT JOIN {lm} a ON a.line = h.line + 1))"""
+
+
+_MED = _median_sql("px", "lm", "r")
 
 
 @query(f"""WITH {PX}, {_MED} SELECT line, round(median, 6) + 0.0 AS median FROM lm""")
@@ -584,10 +607,7 @@ def line_medians(spark, sf_dir):
     return seams.line_medians(surface(spark, sf_dir)).select("line", r6("median").alias("median"))
 
 
-_SPIKE = f"""{PX}, {_MED}, sp(line, last, n) AS (SELECT line, median, CAST(0 AS DOUBLE) FROM lm WHERE line = 0 UNION ALL
-SELECT line, here - 2 * pi() * n, n FROM (SELECT h.line, h.median AS here, CASE WHEN round((h.median - s.last) / (2 * pi())) <> 0 AND a.line IS NOT NULL AND round((h.median - s.last) / (2 * pi())) = round((h.median - a.median) / (2 * pi()))
-AND abs(h.median - s.last - 2 * pi() * round((h.median - s.last) / (2 * pi()))) <= 0.5 AND abs(h.median - a.median - 2 * pi() * round((h.median - a.median) / (2 * pi()))) <= 0.5
-THEN round((h.median - s.last) / (2 * pi())) ELSE CAST(0 AS DOUBLE) END AS n FROM sp s JOIN lm h ON h.line = s.line + 1 LEFT JOIN lm a ON a.line = h.line + 1))"""
+_SPIKE = f"{PX}, {_MED}, {_spike_sql('lm', 'sp')}"
 
 
 @query(f"""WITH RECURSIVE {_SPIKE} SELECT r AS "row", c AS "col", round(CASE WHEN mask THEN unw - 2 * pi() * n ELSE unw END, 6) + 0.0 AS unw FROM px JOIN sp ON line = r""")
@@ -596,7 +616,8 @@ def spike_rows(spark, sf_dir):
     return seams.fix_spikes_along(surface(spark, sf_dir)).select("row", "col", r6("unw").alias("unw"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPIKE}, u1 AS (SELECT r, c, mask, CASE WHEN mask THEN unw - 2 * pi() * n ELSE unw END AS unw FROM px JOIN sp ON line = r),
+{_median_sql('u1', 'lm2', 'c')}, {_spike_sql('lm2', 'sp2')} SELECT r AS "row", c AS "col", round(CASE WHEN mask THEN unw - 2 * pi() * n ELSE unw END, 6) + 0.0 AS unw FROM u1 JOIN sp2 ON line = c""")
 def fix_cycle_spikes(spark, sf_dir):
     """Z3: rows, then columns."""
     return seams.fix_cycle_spikes(surface(spark, sf_dir)).select("row", "col", r6("unw").alias("unw"))
@@ -625,7 +646,7 @@ def bridge_label(spark, sf_dir):
     return B.region_labels(_islands(spark, sf_dir), raster_shape(spark, sf_dir), 14).select("row", "col", "label")
 
 
-_STRIPES = f"""{PX}, rg AS (SELECT r, c, unw, v, CASE WHEN mask AND c % 16 > (r // 40) % 5 THEN 1 + (r // 40) * 4 + c // 16 ELSE 0 END AS label FROM px),
+_STRIPES = f"""{PX}, rg AS (SELECT r, c, unw, v, CAST(CASE WHEN mask AND c % 16 > (r // 40) % 5 THEN 1 + (r // 40) * 4 + c // 16 ELSE 0 END AS BIGINT) AS label FROM px),
 lb AS (SELECT r, c, unw, v, label FROM rg)"""
 
 
@@ -717,6 +738,16 @@ def bridge(spark, sf_dir):
     return out.select("row", "col", r6("unw").alias("unw"), F.col("conncomp").cast("long").alias("conncomp"))
 
 
+@query(f"""WITH {_STRIPES}, {_BOUND} SELECT a.label AS a, b.label AS b, a.i, b.i AS j, CAST(floor(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) * 64) AS BIGINT) AS q
+FROM pt a JOIN pt b ON b.label = a.label + 1 AND a.i = b.i""")
+def packed_keys(spark, sf_dir):
+    """M9: ordering key of the points with the same number of two neighbouring regions."""
+    p = B.sample_boundary(B.boundary(_stripes(spark, sf_dir)), 24).select("label", "row", "col", "local")
+    other = p.select((F.col("label") - 1).alias("label"), F.col("row").alias("y"), F.col("col").alias("x"), "local")
+    k = P.packed_distance(F.col("y") - F.col("row"), F.col("x") - F.col("col"), "local", "local")
+    return p.join(other, ["label", "local"]).select(F.col("label").alias("a"), (F.col("label") + 1).alias("b"), F.col("local").cast("long").alias("i"), F.col("local").cast("long").alias("j"), k["q"].alias("q"))
+
+
 # ---------------------------------------------------------------- least squares, one step
 
 
@@ -855,5 +886,3 @@ def block_round_trip(spark, sf_dir):
     df = from_blocks(to_blocks(raster(spark, sf_dir), (64, 32), "psi"), "psi")
     return df.select("row", "col", (F.round(F.col("psi").cast("double"), 4) + 0.0).alias("psi"))
 
-
-_ = (math, Window)
