@@ -181,13 +181,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = order[a:z]
         at, names, own_tile = rows.tolist(), line[rows].tolist(), tile[rows].tolist()
         one = pair[rows[0]] >> 20 == pair[rows[0]] & (1 << 20) - 1
+        parts: dict[int, list[int]] = {}
         for i, p in enumerate(names):
-            for j in range(i + 1, len(names)):
-                q = names[j]
-                if (one or own_tile[i] != own_tile[j]) and (x := find(p)) != (y := find(q)) and similar(of(p, at[i]), of(q, at[j])):
-                    root[max(x, y)] = min(x, y)
-                    a_out.append(p)
-                    b_out.append(q)
+            parts.setdefault(find(p), []).append(i)
+        # Only lines of different components are compared; of two parts, until one pair is similar.
+        kept: list[list[int]] = []
+        for new in parts.values():
+            whole, apart = list(new), []
+            for old in kept:
+                hit = next(((i, j) for i in new for j in old if (one or own_tile[i] != own_tile[j]) and similar(of(names[i], at[i]), of(names[j], at[j]))), None)
+                if hit is None:
+                    apart.append(old)
+                    continue
+                p, q = names[hit[0]], names[hit[1]]
+                x, y = find(p), find(q)
+                root[max(x, y)] = min(x, y)
+                a_out.append(p)
+                b_out.append(q)
+                whole += old
+            kept = [*apart, whole]
     yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
