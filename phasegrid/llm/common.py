@@ -58,10 +58,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.tables = spark, f"{checkpoint_dir(spark)}/phasegrid-{uuid.uuid4().hex}", {}
+        self.written = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage: write `df` and read it back."""
-        path = f"{self.root}/{name}-{len(self.tables)}"
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.tables[name] = path
         self.release()
@@ -367,20 +369,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node has one edge and no root has any: then the stars are the components."""
+    if e.groupBy("u").count().where("count > 1").limit(1).count():
+        return False
+    return not e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of each node that has an edge to another, root the smallest node.
 
     Union-find inside partitions first, then rounds of large-star and small-star
-    over the forests until nothing changes; each round is a written table.
+    over the forests until they are stars; each round is a written table.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    # Written first: two Python steps in one stage would hold two workers for each task.
+    e = scratch.keep(e, "cc_edges")
     e = scratch.keep(e.mapInArrow(_forest, "u long, v long").distinct(), "cc")
-    state, turn, held = None, 0, []
-    while True:
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == state or now[0] == 0:
-            break
-        state = now
+    turn, spent = 0, ["cc_edges"]
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -388,8 +395,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = scratch.keep(small.distinct(), f"cc_s{turn}")
-        held += [f"cc_l{turn}"] + ([f"cc_s{turn - 1}"] if turn else [])
+        spent += [f"cc_l{turn}", f"cc_s{turn - 1}" if turn else "cc"]
         turn += 1
-    if held:
-        scratch.drop(*held)
+    scratch.drop(*spent)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
