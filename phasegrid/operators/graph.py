@@ -49,19 +49,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one edge and no root has any; then each star is a component."""
+    if e.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    return not e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (a, b); the root is the smallest node reached."""
     e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     e = written(e.mapInArrow(_forest, "a long, b long").distinct())
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now[0] == 0 or now == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    while not _stars(e):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = written(small.distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
