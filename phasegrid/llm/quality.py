@@ -32,7 +32,7 @@ NAMES = [
     "distinct_words", "same_as_before", "top_word", "distinct_pairs", "distinct_lines", "line_length", "squeezed", "marked_words", "short_lines",
 ]
 #: Shrinkage towards the pooled covariance, and of that towards the identity.
-POOLED, ROUND = 0.30, 0.05
+POOLED, ROUND = 0.90, 0.05
 
 _OTHERS = {k: bytes(b for b in range(256) if b not in v) for k, v in {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "mark": set(MARKS), "stop": set(STOPS), "high": range(128, 256), "bar": b"|",
