@@ -137,13 +137,24 @@ CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("key
 
 
 def similar(a: set, b: set) -> bool:
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
     both = len(a & b)
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
 def shingles(line: bytes) -> set:
+    """The different shingles; one of characters below 256 stands as the number of its seven bytes."""
     s = line.decode()
-    return {s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1)}
+    n = len(s) - SHINGLE + 1
+    try:
+        x = np.frombuffer(s.encode("latin-1"), np.uint8).astype(np.int64)
+    except UnicodeEncodeError:
+        parts = {s[i : i + SHINGLE] for i in range(n)}
+        return {int.from_bytes(p.encode("latin-1")) if max(p) < "\u0100" else p for p in parts}
+    two = x[:-1] << 8 | x[1:]
+    four = two[:-2] << 16 | two[2:]
+    return set((four[:n] << 24 | two[4 : 4 + n] << 8 | x[6:]).tolist())
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +173,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text, a_out, b_out = t.column("text"), [], []
     root: dict[int, int] = {}
     sets: dict[int, set] = {}
+    unlike: set[tuple[int, int]] = set()
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -170,11 +182,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(name: int, row: int) -> set:
         if name not in sets:
-            if len(sets) > 5_000:
+            if len(sets) > 3_000:
                 sets.clear()
             sets[name] = shingles(text[row].as_py())
         return sets[name]
 
+    def alike(p: int, x: int, q: int, y: int) -> bool:
+        """What an earlier band has found unlike isn't compared again."""
+        pair_ = (p, q) if p < q else (q, p)
+        if pair_ in unlike:
+            return False
+        if similar(of(p, x), of(q, y)):
+            return True
+        if len(unlike) > 300_000:
+            unlike.clear()
+        unlike.add(pair_)
+        return False
+
     for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if z - a < 2:
             continue
@@ -189,7 +213,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for new in parts.values():
             whole, apart = list(new), []
             for old in kept:
-                hit = next(((i, j) for i in new for j in old if (one or own_tile[i] != own_tile[j]) and similar(of(names[i], at[i]), of(names[j], at[j]))), None)
+                hit = next(((i, j) for i in new for j in old if (one or own_tile[i] != own_tile[j]) and alike(names[i], at[i], names[j], at[j])), None)
                 if hit is None:
                     apart.append(old)
                     continue
