@@ -32,7 +32,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: version since 6.0 agrees; other texts are split by the reference library.
 SETTLED = re.compile("[\x00-ɏΑ-ΡΣ-ωА-я‐-‧‰-›€ぁ-ゖァ-ヺ一-龥]*")
 
-CACHE_WORDS = 150_000
+#: Cache entries: merging a word here is dear, ranking one in the library cheap.
+CACHE_WORDS, CACHE_RANKED = 400_000, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -103,11 +104,11 @@ class Vocabulary:
 class _Chunks(dict):
     """Text without inner spaces -> its ids as little-endian uint32 bytes, bounded."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = CACHE_WORDS):
+        self.encode, self.most = encode, most
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         out = self.encode(chunk)
         if len(chunk) <= 64:
@@ -194,7 +195,7 @@ def encoder(path: str, kind: str = "merge") -> Encoder:
             from phasegrid.llm.packing import ranked_chunks
 
             own = Encoder(path)
-            own.chunks.encode = ranked_chunks(own.vocab)
+            own.chunks = _Chunks(ranked_chunks(own.vocab), CACHE_RANKED)
             _ENCODERS[path, kind] = own
     return _ENCODERS[path, kind]
 
