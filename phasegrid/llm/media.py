@@ -341,9 +341,9 @@ def packets(df: DataFrame, key: str = "id", content: str = "content") -> DataFra
 
 
 def features(payload: bytes, media: Media) -> str:
-    """A few figures of the samples and the packets, as text."""
+    """A few figures of the samples and the packets, as text; all are of the whole payload, peak is its strongest frequency's number."""
     x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128
-    spectrum = np.abs(np.fft.rfft(x[:4096] if len(x) > 4096 else x))[1:]
+    spectrum = np.abs(np.fft.rfft(x))[1:]
     peak = int(spectrum.argmax()) + 1 if len(spectrum) else 0
     crossings = int(np.count_nonzero(np.diff(np.signbit(x))))
     clusters = len({p.cluster for p in media.packets})

@@ -87,6 +87,13 @@ def test_store_and_read(spark):
     assert media.store_and_read(empty(spark)).count() == 0
 
 
+def test_peak_is_of_the_whole_payload():
+    """A text whose tail, behind 4096 bytes, holds the strongest frequency."""
+    start, tail = b"ab" * 2048, b"aaaa~~~~" * 2048
+    for payload, peak in ((start, 2048), (start + tail, (4096 + 16384) // 8)):
+        assert media.features(payload, media.parse(media.mux(payload))).endswith(f";peak={peak}")
+
+
 def lacings(frames):
     """Each lacing of the same frames."""
     n = bytes([len(frames) - 1])
