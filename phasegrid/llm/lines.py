@@ -60,6 +60,13 @@ class Lines:
         at = np.flatnonzero(self.use)
         return at[np.unique(self.hash[at], return_index=True)[1]]
 
+    def signatures(self, at: np.ndarray) -> np.ndarray:
+        return signatures([self.bare[k] for k in at.tolist()])
+
+    @staticmethod
+    def shingles(line: bytes) -> set:
+        return shingles(line)
+
 
 def signatures(lines: list[bytes]) -> np.ndarray:
     """One-permutation MinHash of the character shingles of each line (each has some)."""
@@ -75,8 +82,18 @@ def signatures(lines: list[bytes]) -> np.ndarray:
         line = np.repeat(np.arange(at, to), size[at:to])
         inside = np.arange(len(h)) + SHINGLE <= np.repeat(begin[at + 1 : to + 1] - begin[at], size[at:to])[: len(h)]
         h, line = h[inside], line[: len(inside)][inside]
-        np.minimum.at(flat, line * BINS + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64), h)
+        to_bins(flat, line, h)
         at = to
+    return filled(out)
+
+
+def to_bins(flat: np.ndarray, line: np.ndarray, h: np.ndarray) -> None:
+    """The smallest hash of each bin of each line."""
+    np.minimum.at(flat, line * BINS + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64), h)
+
+
+def filled(out: np.ndarray) -> np.ndarray:
+    """The signatures, empty bins filled from hashed others (each line has some)."""
     rows = np.flatnonzero((out == EMPTY).any(1))
     kept = out[rows]  # only these rows, and of these ever fewer, have gaps
     for probe in PROBES:
@@ -103,7 +120,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def _keys(x: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Different lines, their band keys; different keys, a tag of a line of each, whether two lines have it."""
     at = x.different()
-    key = bands(signatures([x.bare[k] for k in at.tolist()])) if len(at) else np.zeros((0, BANDS), np.uint64)
+    key = bands(x.signatures(at)) if len(at) else np.zeros((0, BANDS), np.uint64)
     values, first, inverse, n = np.unique(key.ravel(), return_index=True, return_inverse=True, return_counts=True)
     tag = (x.hash[at][first // BANDS] & np.uint64(0xFFFFFFFF)).astype("<u4") if len(at) else np.zeros(0, "<u4")
     return at, inverse.reshape(key.shape), values, tag, n > 1
@@ -157,7 +174,7 @@ def shingles(line: bytes) -> set:
     return set((four[:n] << 24 | two[4 : 4 + n] << 8 | x[6:]).tolist())
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Iterator[pa.RecordBatch]:
     """Groups of one partition: edges between lines that are similar and not yet connected here.
 
     Groups with the same smallest line are in one partition, so most of what a
@@ -174,6 +191,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root: dict[int, int] = {}
     sets: dict[int, set] = {}
     unlike: set[tuple[int, int]] = set()
+    held = 0
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -181,10 +199,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     def of(name: int, row: int) -> set:
+        nonlocal held
         if name not in sets:
-            if len(sets) > 3_000:
+            if len(sets) > 3_000 or held > 2_000_000:
                 sets.clear()
-            sets[name] = shingles(text[row].as_py())
+                held = 0
+            sets[name] = kind.shingles(text[row].as_py())
+            held += len(sets[name])
         return sets[name]
 
     def alike(p: int, x: int, q: int, y: int) -> bool:
@@ -227,18 +248,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
-def line_components(blocks: DataFrame, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidates (block, line, ...) and (node, root) of lines that are similar to others."""
+def line_components(blocks: DataFrame, buckets: int, scratch: Scratch, kind: type[Lines] = Lines) -> tuple[DataFrame, DataFrame]:
+    """Candidates (block, line, ...) and (node, root) of lines, or another kind, that are similar to others."""
 
     def keys(block: Block):
-        _, _, values, tag, several = _keys(Lines(block))
+        _, _, values, tag, several = _keys(kind(block))
         for b, x, y in split_by_bucket(values, buckets):
             yield b, frames(pack_u64(values[x:y]), tag[x:y].tobytes(), np.packbits(several[x:y]).tobytes())
 
     met = scratch.keep(answer(send(blocks, keys), _met, buckets), "met")
 
     def candidates(block: Block, replies: dict[int, bytes]) -> pa.Table:
-        x = Lines(block)
+        x = kind(block)
         at, index, values, _, _ = _keys(x)
         hit = np.zeros(len(values), bool)
         for b, p, q in split_by_bucket(values, buckets):
@@ -259,7 +280,7 @@ def line_components(blocks: DataFrame, buckets: int, scratch: Scratch) -> tuple[
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
     dealt = dealt.select("lead", "key", pair, "tile", "line").join(lines.select("line", "text"), "line")
-    edges = dealt.repartition(partitions(blocks.sparkSession), "lead", "pair").mapInArrow(_verify, "a long, b long")
+    edges = dealt.repartition(partitions(blocks.sparkSession), "lead", "pair").mapInArrow(lambda batches: _verify(batches, kind), "a long, b long")
     return found, components(edges, scratch)
 
 

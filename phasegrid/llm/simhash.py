@@ -111,8 +111,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: s
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document, by doc_id, of each component, and those without a doc_id."""
     blocks, _ = to_blocks(docs, scratch, doc_id, text, whole_rows=True)
-    columns = docs.columns
-    schema, arrow = row_schemas(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -121,7 +119,14 @@ def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(fp), pa.array(np.full(len(fp), b.block)), pa.array(np.arange(len(fp)))], ["doc_id", "fp", "block", "place"])
 
     found = scratch.keep(blocks.mapInArrow(run, "doc_id long, fp long, block long, place long"), "fingerprints")
-    first = found.where("doc_id is not null").join(owners(found, scratch), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "place")).alias("k"))
+    return first_rows(docs, blocks, found, owners(found, scratch), text)
+
+
+def first_rows(docs: DataFrame, blocks: DataFrame, found: DataFrame, owned: DataFrame, text: str) -> DataFrame:
+    """Of the documents (doc_id, fp, block, place) the first of each component (fp, component_id), and those without a doc_id."""
+    columns = docs.columns
+    schema, arrow = row_schemas(docs)
+    first = found.where("doc_id is not null").join(owned, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "place")).alias("k"))
     stay = first.select("k.block", "k.place").union(found.where("doc_id is null").select("block", "place"))
 
     def note(t: pa.Table) -> pa.Table:

@@ -285,3 +285,39 @@ def test_links_within_two_bits_are_complete(spark):
         assert (prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 2
         v.join(r["a"], r["b"])
     assert [u.find(i) for i in range(len(prints))] == [v.find(i) for i in range(len(prints))]
+
+
+# ---------------------------------------------------------------- near copies in the pipeline
+
+
+def word_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_of_short_lines_go(spark):
+    """Copies with changed words at similarity 0.8 or more, as short lines; others under 0.8 stay."""
+    from corpus_pipeline import drop_near_copies
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        rows.append((i, "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))))
+        for j, changes in ((100, 1), (200, len(w) // 60 + 1), (300, len(w) // 12)):
+            x = list(w)
+            for k in rng.sample(range(len(x)), changes):
+                x[k] = f"new{rng.randrange(10**6)}"
+            rows.append((j + i, "\n".join(" ".join(x[k : k + 4]) for k in range(0, len(x), 4))))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "One two"), (None, rows[0][1]), (None, rows[0][1])]
+    sets = {d: word_set(t) for d, t in rows if d is not None}
+    u, pairs = Union(), 0
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                u.join(a, b)
+                pairs += 1
+    assert pairs > 60
+    kept = drop_near_copies(spark, frame(spark, rows), "")
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids == Counter({u.find(d): 1 for d in sets}) + Counter({None: 2})
