@@ -1,7 +1,8 @@
 """Operator 4: fuzzy line deduplication by MinHash.
 
-Lines (split at \\n, blanks stripped, of 30 characters or more) are compared by
-the sets of their 7-character shingles.  A one-permutation MinHash signature of
+Lines (split at \\n, blanks stripped, none left out but blank ones) are compared
+by the sets of their 7-character shingles; one of fewer characters is its own
+only shingle, so it has exact copies only.  A one-permutation MinHash signature of
 80 bins, empty bins filled from hashed others, is cut into 16 bands of 5: a
 pair at Jaccard 0.8 meets in some band with probability 0.998.  Band values
 that only one line has are settled by a count over the corpus (packed blocks);
@@ -10,7 +11,7 @@ large groups as pairs of tiles.  There every pair that isn't connected yet is
 verified by its exact Jaccard similarity.  Distributed union-find makes
 components; the line with the smallest (doc_id, position) of each stays.
 
-Cases: null and empty texts have no lines; blank and short lines always stay;
+Cases: null and empty texts have no lines; blank lines always stay;
 equal lines are one line with several places; repeats inside a document count;
 rows that repeat a doc_id are separate documents, ties going to the earlier
 block; a null doc_id is the smallest; texts and lines of any length are whole.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.common import Block, Scratch, answer, components, frames, mix, pack_u64, partitions, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
-SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 30, 0.8, 16, 5, 400
+SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 1, 0.8, 16, 5, 400
 BINS = BANDS * ROWS
 BUCKET_BYTES = 16_000_000
 EMPTY = np.uint64(2**64 - 1)
@@ -51,15 +52,19 @@ class Lines:
         self.doc = np.repeat(np.arange(len(counts)), self.counts)
         self.pos = np.arange(len(self.raw)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.bare = [x.strip(b" \t\r\x0b\x0c") for x in self.raw]
-        self.use = np.fromiter((len(x) >= MIN_CHARS and len(x.decode()) >= MIN_CHARS for x in self.bare), bool, len(self.bare))
+        self.use = np.fromiter((len(x) >= MIN_CHARS for x in self.bare), bool, len(self.bare))
         self.hash = np.zeros(len(self.bare), np.uint64)
         self.hash[self.use] = np.fromiter((xxhash.xxh64_intdigest(x) for x, u in zip(self.bare, self.use.tolist(), strict=True) if u), np.uint64, int(self.use.sum()))
 
     def different(self) -> np.ndarray:
-        """One index for each different line, in the order of its hash."""
-        at = np.flatnonzero(self.use)
+        """One index for each different line that can be like another, in the order of its hash."""
+        at = np.flatnonzero(self.use & self.several())
         return at[np.unique(self.hash[at], return_index=True)[1]]
 
+    def several(self) -> np.ndarray:
+        """Lines of a shingle's length or more: shorter ones have exact copies only."""
+        return np.fromiter((len(x) >= SHINGLE and len(x.decode()) >= SHINGLE for x in self.bare), bool, len(self.bare))
+
     def signatures(self, at: np.ndarray) -> np.ndarray:
         return signatures([self.bare[k] for k in at.tolist()])
 
@@ -164,6 +169,8 @@ def shingles(line: bytes) -> set:
     """The different shingles; one of characters below 256 stands as the number of its seven bytes."""
     s = line.decode()
     n = len(s) - SHINGLE + 1
+    if n < 1:
+        return {s}
     try:
         x = np.frombuffer(s.encode("latin-1"), np.uint8).astype(np.int64)
     except UnicodeEncodeError:

@@ -164,6 +164,18 @@ def test_lines_in_tiles(spark, monkeypatch):
     assert out == {i: int(i > 0) for i in range(20)}
 
 
+def test_short_lines_take_part(spark):
+    """Exact copies of any length go; similar ones of a few shingles too."""
+    rng = random.Random(7)
+    rows = [(i, "Menu\n" + prose(rng, 30, 30) + "\n\nRead more here\n}\n" + f"{i:02d} alone") for i in range(30)]
+    rows += [(50, "Menu \nRead more here!\nSome other words"), (51, "日本\n日本語日本語日本語日本語\n日本"), (52, "日本語日本語日本語日本語")]
+    cols = ("doc_id", "n_lines", "n_removed", "kept_sha256")
+    got = rows_of(lines.digest(frame(spark, rows), Scratch(spark)), *cols)
+    assert got == kept_lines(rows)
+    removed = {r[0]: r[2] for r in got}
+    assert removed == {0: 0} | {i: 3 for i in range(1, 30)} | {50: 2, 51: 1, 52: 1}
+
+
 # ---------------------------------------------------------------- 6
 
 
