@@ -1,13 +1,19 @@
 """Operator 10: SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into segments.  Within each segment every
-value in a small Hamming ball (radius 1 for the production distance 2) is
-enumerated and the fingerprint, so altered, is looked up in a table of altered
-fingerprints: two fingerprints within distance 2 always meet at one key, and a
-key holds at most 1 + 64 different fingerprints, however many documents share
-them.  So nothing grows with a group: of the fingerprints at a key each is
-verified, by its complete distance, against the smallest, which also links all
-of them with each other.  Connected components follow.
+A fingerprint's 64 bits are cut into segments.  Each segment has a table of its
+own: rows (segment, value, fingerprint).  Two fingerprints within a distance of
+D differ by at most D // segments bits in some segment, so each fingerprint
+enumerates, segment by segment, the values in a Hamming ball of that radius,
+fetches the table's rows at those values, and every row fetched is verified by
+the complete distance.  For the production distance 2 that is two segments of 32
+bits and radius 1: 66 look-ups a fingerprint, two table rows.
+
+A value that more than `hot` different fingerprints share would make every look-up
+there long.  Such crowded values stay out of the tables; their fingerprints meet
+each other at whole keys instead, in balls of half the distance round both, where
+a key holds a bounded number of fingerprints and each is linked with the smallest.
+A pair of which one value is crowded and the other isn't is found at the other's,
+so no link is lost.  Connected components follow.
 
 Cases: null, empty and all-blank texts have fingerprint zero and link like any
 other; one or two words are one shingle; repeated shingles count each time;
@@ -18,17 +24,19 @@ a null doc_id takes no part in links and has a null component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import MESSAGE, Block, Scratch, components, partitions, receive, row_schemas, to_blocks
+from phasegrid.llm.common import MESSAGE, Block, Scratch, components, receive, row_schemas, to_blocks
 
 SEED = 42
+#: Bits that may differ, segments, and fingerprints that one value of a segment may have in its table.
+DISTANCE, SEGMENTS, HOT = 2, 2, 256
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -60,43 +68,56 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(table: DataFrame, parts: int, segments: int = 2) -> DataFrame:
-    """(a, b): representative documents of fingerprints at 2 or fewer differing bits.
+def ball(bits: int, radius: int) -> list[int]:
+    """Masks of at most `radius` of the low `bits` bits, as signed longs."""
+    masks = [sum(1 << k for k in at) for r in range(radius + 1) for at in combinations(range(bits), r)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    `table` is (rep, fp), each fp once.  For distance 2, ball radius 1.
-    """
-    width = 64 // segments
-    flips = np.concatenate([[0], *(np.uint64(1) << np.arange(s * width, (s + 1) * width, dtype=np.uint64) for s in range(segments))]).astype(np.uint64)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                rep, fp = (c.to_numpy()[i : i + 4096] for c in (b.column(0), b.column(1)))
-                key = (fp.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(rep, len(flips))), pa.array(np.repeat(fp, len(flips)))], ["key", "rep", "fp"])
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        key, rep, fp = (t.column(c).to_numpy() for c in ("key", "rep", "fp"))
-        order = np.lexsort((rep, key))
-        key, rep, fp = key[order], rep[order], fp[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        near = ~new & (np.bitwise_count(fp.view(np.uint64) ^ fp[first].view(np.uint64)) <= 2)
-        yield pa.RecordBatch.from_arrays([pa.array(rep[first][near]), pa.array(rep[near])], ["a", "b"])
-
-    keys = table.mapInArrow(probe, "key long, rep long, fp long")
-    return keys.repartition(parts, "key").mapInArrow(match, "a long, b long")
+def _each(rows: list[tuple[int, ...]], names: str) -> Column:
+    """One row for each of the constants, in columns of these names."""
+    return F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(r, names.split(), strict=True))) for r in rows)))
+
+
+def segment_rows(table: DataFrame, segments: int, radius: int) -> DataFrame:
+    """(segment, value, rep, fp): every value within `radius` of each segment's own."""
+    width = -(-64 // segments)
+    sizes = [min(width, 64 - s * width) for s in range(segments)]
+    rows = [(s, s * width, (1 << n) - 1 if n < 64 else -1, m) for s, n in enumerate(sizes) for m in ball(n, radius)]
+    df = table.select("rep", "fp", _each(rows, "segment shift low mask").alias("k"))
+    value = F.expr("(shiftrightunsigned(fp, int(k.shift)) & k.low) ^ k.mask")
+    return df.select("k.segment", value.alias("value"), "rep", "fp")
+
+
+def near_links(table: DataFrame, scratch: Scratch, distance: int = DISTANCE, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+    """(a, b): documents whose fingerprints, connected at `distance` or fewer differing bits, are linked.
+
+    `table` is (rep, fp), each fp once.
+    """
+    at = ["segment", "value"]
+    own = segment_rows(table, segments, 0)
+    crowded = scratch.keep(own.groupBy(*at).count().where(F.col("count") > hot).select(*at), "crowded")
+    index = scratch.keep(own.join(crowded, at, "left_anti"), "index")
+    probes = segment_rows(table, segments, distance // segments)
+    met = probes.join(index.select(*at, F.col("rep").alias("other"), F.col("fp").alias("its")), at)
+    met = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("its"))) <= distance) & (F.col("rep") != F.col("other")))
+    crowd = own.join(crowded, at, "left_semi").select("rep", "fp").distinct()
+    return met.select(F.col("rep").alias("a"), F.col("other").alias("b")).union(whole_links(crowd, distance))
+
+
+def whole_links(table: DataFrame, distance: int) -> DataFrame:
+    """(a, b) of fingerprints within `distance`: both meet at a key half-way, where the smallest stands for all."""
+    inner = distance // 2
+    rows = [(m, int((m & (1 << 64) - 1).bit_count() <= inner)) for m in ball(64, distance - inner)]
+    keys = table.select("rep", "fp", _each(rows, "mask inner").alias("k")).select("rep", F.col("fp").bitwiseXOR(F.col("k.mask")).alias("key"), F.col("k.inner").alias("inner"))
+    first = F.min(F.when(F.col("inner") == 1, F.col("rep"))).over(Window.partitionBy("key"))
+    return keys.select("rep", first.alias("first")).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
 
 
 def owners(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, component_id) of each fingerprint of (doc_id, fp, ...)."""
     table = scratch.keep(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep", "fp"), "table")
-    # Keys for each partition are bounded: 65 for a fingerprint, about a million for a task.
-    parts = max(partitions(found.sparkSession), -(-table.count() * 65 // 1_000_000))
-    root = components(near_links(table, parts), scratch)
+    root = components(near_links(table, scratch), scratch)
     return table.join(root, table["rep"] == root["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
 
 

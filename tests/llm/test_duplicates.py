@@ -275,30 +275,41 @@ def test_simhash(spark):
     assert ids == Counter({u.find(d): 1 for d in prints}) + Counter({None: 2}) and kept.columns == frame(spark).columns
 
 
-def test_links_within_two_bits_are_complete(spark):
+@pytest.mark.parametrize(("distance", "segments", "hot"), [(2, 2, 256), (2, 2, 2), (2, 2, 0), (2, 3, 1), (3, 2, 3), (4, 4, 256)])
+def test_links_are_complete(spark, distance, segments, hot):
+    """Against all pairs, with values of a segment that few, many or all count as crowded."""
     rng = random.Random(9)
-    base = [rng.getrandbits(64) for _ in range(40)]
+    base = [rng.getrandbits(64) for _ in range(30)]
     prints = set(base)
     for x in base:
         for _ in range(6):
             y = x
-            for j in rng.sample(range(64), rng.randint(1, 4)):
+            for j in rng.sample(range(64), rng.randint(1, distance + 2)):
                 y ^= 1 << j
             prints.add(y)
+    prints |= {base[0] ^ (1 << j) for j in range(0, 64, 3)} | {0, 2**64 - 1, 2**63}
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     table = spark.createDataFrame(list(enumerate(signed)), "rep long, fp long")
     u, v = Union(), Union()
     for i, p in enumerate(prints):
         for j in range(i):
-            if (p ^ prints[j]).bit_count() <= 2:
+            if (p ^ prints[j]).bit_count() <= distance:
                 u.join(i, j)
-    for r in simhash.near_links(table, 4).collect():
-        assert (prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 2
+    for r in simhash.near_links(table, Scratch(spark), distance, segments, hot).collect():
+        assert (prints[r["a"]] ^ prints[r["b"]]).bit_count() <= distance
         v.join(r["a"], r["b"])
     assert [u.find(i) for i in range(len(prints))] == [v.find(i) for i in range(len(prints))]
 
 
+def test_the_index_is_by_segment(spark):
+    """A table row for each segment, and a ball's values for each look-up."""
+    table = spark.createDataFrame([(1, 5)], "rep long, fp long")
+    assert sorted(tuple(r)[:2] for r in simhash.segment_rows(table, 2, 0).collect()) == [(0, 5), (1, 0)]
+    near = [tuple(r)[:2] for r in simhash.segment_rows(table, 2, 1).collect()]
+    assert len(set(near)) == 66 and all((v ^ (0 if s else 5)).bit_count() <= 1 and 0 <= v < 2**32 for s, v in near)
+
+
 # ---------------------------------------------------------------- near copies in the pipeline
 
 
