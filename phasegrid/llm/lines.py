@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.common import Block, Scratch, answer, components, frames, mix, pack_u64, partitions, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
-SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 1, 0.8, 16, 5, 400
+SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 1, 0.8, 16, 5, 2000
 BINS = BANDS * ROWS
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES, ROWS_PER_TASK = 16_000_000, 20_000
 EMPTY = np.uint64(2**64 - 1)
 PROBES = np.random.default_rng(4).integers(0, BINS, (40, BINS))
 
@@ -69,8 +69,8 @@ class Lines:
         return signatures([self.bare[k] for k in at.tolist()])
 
     @staticmethod
-    def shingles(line: bytes) -> set:
-        return shingles(line)
+    def shingles(lines: list[bytes]) -> Sets:
+        return shingles(lines)
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
@@ -158,101 +158,106 @@ CANDIDATES = "block long, line long, keys array<long>, text binary"
 CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
-def similar(a: set, b: set) -> bool:
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILARITY * (len(a) + len(b) - both)
-
-
-def shingles(line: bytes) -> set:
-    """The different shingles; one of characters below 256 stands as the number of its seven bytes."""
-    s = line.decode()
-    n = len(s) - SHINGLE + 1
-    if n < 1:
-        return {s}
-    try:
-        x = np.frombuffer(s.encode("latin-1"), np.uint8).astype(np.int64)
-    except UnicodeEncodeError:
-        parts = {s[i : i + SHINGLE] for i in range(n)}
-        return {int.from_bytes(p.encode("latin-1")) if max(p) < "\u0100" else p for p in parts}
-    two = x[:-1] << 8 | x[1:]
-    four = two[:-2] << 16 | two[2:]
-    return set((four[:n] << 24 | two[4 : 4 + n] << 8 | x[6:]).tolist())
+class Sets:
+    """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`."""
+
+    def __init__(self, line: np.ndarray, shingle: np.ndarray, lines: int):
+        order = np.argsort(shingle)
+        ranked = shingle[order]
+        number = np.empty(len(shingle), np.int64)
+        number[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(shingle)])
+        self.n = int(number.max(initial=0)) + 1
+        both = np.sort(line * self.n + number)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+        self.number = both % self.n
+        self.size = np.bincount(both // self.n, minlength=lines)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.mark = np.zeros(self.n, bool)
+
+    def like(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Whether each of the others has Jaccard similarity SIMILARITY or more with x; all have shingles."""
+        own = self.number[self.begin[x] : self.begin[x + 1]]
+        self.mark[own] = True
+        if len(others) == 1:
+            k = others[0]
+            both = np.count_nonzero(self.mark[self.number[self.begin[k] : self.begin[k + 1]]])
+        else:
+            size = self.size[others]
+            at = np.cumsum(size) - size
+            flat = np.repeat(self.begin[others] - at, size) + np.arange(size.sum())
+            both = np.add.reduceat(self.mark[self.number[flat]], at, dtype=np.int64)
+        self.mark[own] = False
+        return both >= SIMILARITY * (len(own) + self.size[others] - both)
+
+
+def shingles(lines: list[bytes]) -> Sets:
+    """Seven characters below 256 are the number of their bytes; others stand as 63 bits of a hash."""
+    text = [x.decode() for x in lines]
+    size = np.array([len(x) for x in text], np.int64)
+    codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    line = np.repeat(np.arange(len(text)), size)
+    exact = window_hash(codes, SHINGLE, 256)
+    wide = window_hash((codes > 255).astype(np.uint64), SHINGLE, 1) > 0
+    if wide.any():
+        exact[wide] = mix(window_hash(mix(codes + np.uint64(1)), SHINGLE, 0x9E3779B97F4A7C15))[wide] | np.uint64(1 << 63)
+    inside = line[: len(exact)] == line[len(line) - len(exact) :]
+    return Sets(line[: len(exact)][inside], exact[inside], len(text))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Iterator[pa.RecordBatch]:
     """Groups of one partition: edges between lines that are similar and not yet connected here.
 
-    Groups with the same smallest line are in one partition, so most of what a
-    further band repeats is connected already and never compared again.
+    A line is compared with all of its group that it isn't connected with, at
+    once; a group is done when the lines that haven't had their turn are one
+    component, so each pair of different components has been compared.  The
+    smallest components go first: in a large group of copies the few that are
+    unlike have their turns, not the copies.
     """
     t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if t is None or not t.num_rows:
         return
-    lead, key, pair, tile, line = (t.column(c).to_numpy() for c in ("lead", "key", "pair", "tile", "line"))
-    order = np.lexsort((line, tile, pair, key, lead))
-    change = (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0)
-    edge = np.flatnonzero(np.concatenate([[True], change, [True]]))
-    text, a_out, b_out = t.column("text"), [], []
-    root: dict[int, int] = {}
-    sets: dict[int, set] = {}
-    unlike: set[tuple[int, int]] = set()
-    held = 0
+    key, pair, line = (t.column(c).to_numpy() for c in ("key", "pair", "line"))
+    names, first, local = np.unique(line, return_index=True, return_inverse=True)
+    sets = kind.shingles(t.column("text").take(pa.array(first)).to_pylist())
+    order = np.lexsort((local, pair, key))
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0), [True]])).tolist()
+    root = list(range(len(names)))
+    a_out: list[int] = []
+    b_out: list[int] = []
 
     def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
+        while root[x] != x:
+            root[x] = x = root[root[x]]
         return x
 
-    def of(name: int, row: int) -> set:
-        nonlocal held
-        if name not in sets:
-            if len(sets) > 3_000 or held > 2_000_000:
-                sets.clear()
-                held = 0
-            sets[name] = kind.shingles(text[row].as_py())
-            held += len(sets[name])
-        return sets[name]
-
-    def alike(p: int, x: int, q: int, y: int) -> bool:
-        """What an earlier band has found unlike isn't compared again."""
-        pair_ = (p, q) if p < q else (q, p)
-        if pair_ in unlike:
-            return False
-        if similar(of(p, x), of(q, y)):
-            return True
-        if len(unlike) > 300_000:
-            unlike.clear()
-        unlike.add(pair_)
-        return False
-
-    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if z - a < 2:
-            continue
-        rows = order[a:z]
-        at, names, own_tile = rows.tolist(), line[rows].tolist(), tile[rows].tolist()
-        one = pair[rows[0]] >> 20 == pair[rows[0]] & (1 << 20) - 1
-        parts: dict[int, list[int]] = {}
-        for i, p in enumerate(names):
-            parts.setdefault(find(p), []).append(i)
-        # Only lines of different components are compared; of two parts, until one pair is similar.
-        kept: list[list[int]] = []
-        for new in parts.values():
-            whole, apart = list(new), []
-            for old in kept:
-                hit = next(((i, j) for i in new for j in old if (one or own_tile[i] != own_tile[j]) and alike(names[i], at[i], names[j], at[j])), None)
-                if hit is None:
-                    apart.append(old)
-                    continue
-                p, q = names[hit[0]], names[hit[1]]
-                x, y = find(p), find(q)
-                root[max(x, y)] = min(x, y)
-                a_out.append(p)
-                b_out.append(q)
-                whole += old
-            kept = [*apart, whole]
-    yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    for a, z in zip(edge, edge[1:], strict=False):
+        members = local[order[a:z]]
+        waiting: dict[int, list[int]] = {}
+        for k in members.tolist():
+            waiting.setdefault(find(k), []).append(k)
+        label = None
+        while len(waiting) > 1:
+            least = min(waiting, key=lambda r: len(waiting[r])) if z - a > 2 else next(iter(waiting))
+            x = waiting[least].pop()
+            if not waiting[least]:
+                del waiting[least]
+            if label is None:
+                label = np.array([find(k) for k in members.tolist()])
+            apart = np.flatnonzero(label != find(x))
+            hits = apart[sets.like(x, members[apart])]
+            if not len(hits):
+                continue
+            joined = set(label[hits].tolist()) | {find(x)}
+            new = min(joined)
+            stay = [k for r in joined for k in waiting.pop(r, ())]
+            for r in joined - {new}:
+                root[r] = new
+                a_out.append(new)
+                b_out.append(r)
+            label[np.isin(label, list(joined))] = new
+            if stay:
+                waiting[new] = stay
+    yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)]) for x in (a_out, b_out)], ["a", "b"])
 
 
 def line_components(blocks: DataFrame, buckets: int, scratch: Scratch, kind: type[Lines] = Lines) -> tuple[DataFrame, DataFrame]:
@@ -281,13 +286,15 @@ def line_components(blocks: DataFrame, buckets: int, scratch: Scratch, kind: typ
     lines = found.groupBy("line").agg(F.first("keys").alias("keys"), F.first("text").alias("text"))
     lines = scratch.keep(lines, "lines")
     rows = lines.select("line", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum"), F.min("line").alias("lead")).where("n > 1")
-    once = groups.groupBy("n", "sum").agg(F.min(F.struct("key", "lead")).alias("k")).select("k.key", "k.lead", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
-    dealt = rows.join(once, "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    once = scratch.keep(groups.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "groups")
+    # Each row goes to as many tasks as its group has tiles; a task has a bounded number of them.
+    tasks = max(partitions(blocks.sparkSession), -(-(once.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0) // ROWS_PER_TASK))
+    dealt = rows.join(once.select("key", "tiles"), "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
-    dealt = dealt.select("lead", "key", pair, "tile", "line").join(lines.select("line", "text"), "line")
-    edges = dealt.repartition(partitions(blocks.sparkSession), "lead", "pair").mapInArrow(lambda batches: _verify(batches, kind), "a long, b long")
+    dealt = dealt.select("key", pair, "line").join(lines.select("line", "text"), "line")
+    edges = dealt.repartition(tasks, "key", "pair").mapInArrow(lambda batches: _verify(batches, kind), "a long, b long")
     return found, components(edges, scratch)
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -103,15 +104,55 @@ def test_suffix_array_and_prefixes():
 # ---------------------------------------------------------------- 4
 
 
+def plain_shingles(x):
+    """Seven characters each; a shorter line is its own only shingle."""
+    return {x[i : i + 7] for i in range(max(1, len(x) - 6))}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_groups_are_verified_whole():
+    """Every similar pair of a group is connected, and no other, also just at the threshold and in wide characters."""
+    rng = random.Random(3)
+    found = 0
+    for turn in range(12):
+        letters = "abcdefghij" if turn % 2 else "abc日本ßéü🙂"
+        names = []
+        for _ in range(6):
+            x = "".join(rng.choice(letters) for _ in range(rng.randint(8, 200)))
+            for _ in range(rng.randint(1, 8)):
+                y = list(x)
+                for _ in range(rng.randint(0, 1 + len(y) // 60)):
+                    y[rng.randrange(len(y))] = rng.choice(letters)
+                names.append("".join(y))
+        names = list(dict.fromkeys(names))
+        sets = [plain_shingles(x) for x in names]
+        u, v = Union(), Union()
+        for i in range(len(names)):
+            for j in range(i):
+                if alike(sets[i], sets[j]):
+                    u.join(i, j)
+                    found += 1
+        n = len(names)
+        group = pa.table({"key": pa.array([7] * n + [8] * n, pa.int64()), "pair": pa.array([0] * 2 * n, pa.int64()), "line": pa.array([*range(n)] * 2, pa.int64()), "text": pa.array([x.encode() for x in names] * 2, pa.binary())})
+        for out in lines._verify(iter(group.to_batches())):
+            for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                v.join(a, b)
+        assert [u.find(i) for i in range(n)] == [v.find(i) for i in range(n)]
+    assert found > 100
+
+
 def kept_lines(rows):
     order = sorted(((-(2**63) if d is None else d), k, p, x) for k, (d, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n") if t is not None else []))
     bare = lambda x: x.strip(" \t\r\x0b\x0c")
     names = list(dict.fromkeys(bare(x) for *_, x in order if len(bare(x)) >= lines.MIN_CHARS))
-    sets = {x: lines.shingles(x.encode()) for x in names}
+    sets = {x: plain_shingles(x) for x in names}
     u = Union()
     for i, a in enumerate(names):
         for b in names[:i]:
-            if lines.similar(sets[a], sets[b]):
+            if alike(sets[a], sets[b]):
                 u.join(a, b)
     seen, gone = set(), set()
     for _, k, p, x in order:
