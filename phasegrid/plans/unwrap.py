@@ -23,8 +23,9 @@ def cluster_info(spark: SparkSession) -> dict:
 
 def _with_arc_costs(df: DataFrame, arcs: DataFrame) -> DataFrame:
     """Pixels with the costs of the arcs that start at them."""
-    pick = lambda axis, name: F.max(F.when(F.col("axis") == axis, F.col(name)))
-    wide = arcs.groupBy("scene", "row", "col").agg(pick("row", "offset").alias("off_r"), pick("row", "sigsq").alias("var_r"), pick("col", "offset").alias("off_c"), pick("col", "sigsq").alias("var_c"))
+    kinds = [c for c in ("offset", "sigsq", "dzmax", "laycost") if c in arcs.columns]
+    pick = lambda axis, name: F.max(F.when(F.col("axis") == axis, F.col(name))).alias(f"{name}_{axis[0]}")
+    wide = arcs.groupBy("scene", "row", "col").agg(*(pick(axis, k) for k in kinds for axis in ("row", "col")))
     return df.join(wide, ["scene", "row", "col"], "left")
 
 
@@ -56,15 +57,17 @@ def unwrap(pixels: DataFrame, shape: tuple[int, int], options: UnwrapOptions) ->
     check_grid(pixels, shape)
     o = options.resolved(shape)
     padded = "mask" in pixels.columns and o.mask_pad_distance > 0
-    df = grid.clean(pixels).select("scene", "row", "col", wrapped_phase("re", "im").alias("psi"), "corr", "mask", F.col("mask").alias("conf"))
+    df = grid.clean(pixels)
+    df = df.select("scene", "row", "col", wrapped_phase("re", "im").alias("psi"), "corr", "mask", F.col("mask").alias("conf"), F.col("mag") if "mag" in df.columns else F.lit(1.0).alias("mag"))
     if padded:
         df = grid.dilate(df, o.mask_pad_distance)
-    df = written(df)
+    # Loops without any magnitude round them keep the flows of the start.
+    df = written(df.withColumn("mag", grid.masked_magnitude()))
     arcs = written(costs.build_costs(df, shape, o.nlooks, o.cost, o.model, o.phase_grad_window))
     many = max(o.ntiles) > 1
     parts = tiles.split(_with_arc_costs(df, arcs), shape, o.ntiles, o.tile_overlap)
     solved = solve_tiles(parts, o.init, o.model, o.laplace, o.early_exit)
-    solved = written(solved.join(df, ["scene", "row", "col"]))
+    solved = written(solved.join(df.drop("mag"), ["scene", "row", "col"]))
     # Only smooth network solutions have incremental costs to judge arcs by.
     judged = arcs if o.cost == "smooth" and o.init != "laplace" else None
     solved = written(_label_tiles(solved, judged, shape, o))

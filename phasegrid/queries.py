@@ -804,16 +804,31 @@ def vector_products(spark, sf_dir):
 # ---------------------------------------------------------------- solvers and whole plans
 
 
-@query(f"""WITH {PX} SELECT count(*) AS pixels, true AS congruent, true AS finite FROM px""")
+#: A surface with steps under half a cycle, and blocks of two by three pixels where the phase is noise and the mask is off.
+TRUE = """t AS (
+  SELECT r, c, NOT (r % 11 IN (4, 5) AND c % 9 IN (3, 4, 5)) AS valid, CAST(0.1 AS DOUBLE) * r + CAST(0.2 AS DOUBLE) * c + 2 * v AS u FROM px
+), k AS (SELECT r, c, valid, CAST(floor(u / (2 * pi())) AS BIGINT) AS k FROM t)"""
+
+
+def known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
+    """That surface's interferogram: what a solver must give back on valid pixels is known, although there are residues."""
+    df = embedding_raster(spark, sf_dir)
+    valid = ~((F.col("row") % 11).isin(4, 5) & (F.col("col") % 9).isin(3, 4, 5))
+    u = 0.1 * F.col("row") + 0.2 * F.col("col") + F.when(valid, 2 * F.col("v")).otherwise(60 * F.col("v"))
+    df = df.select("scene", "row", "col", F.cos(u).cast("float").alias("re"), F.sin(u).cast("float").alias("im"), F.lit(0.9).cast("float").alias("corr"), valid.alias("mask"))
+    return df, raster_shape(spark, sf_dir)
+
+
+@query(f"""WITH {PX}, {TRUE} SELECT k.r AS "row", k.c AS "col", CASE WHEN k.valid THEN k.k - o.k END AS cycles FROM k JOIN k o ON o.r = k.r // 125 * 125 AND o.c = 0""")
 def laplace_tiles(spark, sf_dir):
-    """Every tile solved; each value is congruent with its phase."""
-    df, shape = raster(spark, sf_dir), raster_shape(spark, sf_dir)
+    """Tiles of 125 lines; whole cycles of each valid pixel over the tile's first."""
+    df, shape = known(spark, sf_dir)
+    df = df.withColumn("psi", P.wrapped_phase("re", "im"))
     from phasegrid.plans.unwrap import _with_arc_costs
 
-    parts = tiles.split(_with_arc_costs(df, costs.build_costs(df, shape, NLOOKS)), shape, (max(1, shape[0] // 125), 1), (0, 0))
-    out = solve_tiles(parts, "laplace", CostModel(), LaplaceOptions(reweights=4)).join(df.select("scene", "row", "col", "psi"), ["scene", "row", "col"])
-    off = F.abs(P.wrap_signed(F.col("unw") - F.col("psi")))
-    return out.agg(F.count("*").alias("pixels"), F.coalesce(F.max(off) < 1e-6, F.lit(True)).alias("congruent"), (F.count(F.when(F.isnan("unw"), 1)) == 0).alias("finite"))
+    parts = _with_arc_costs(df, costs.build_costs(df, shape, NLOOKS)).withColumns({"tr": F.floor(F.col("row") / 125).cast("int"), "tc": F.lit(0)})
+    out = solve_tiles(parts, "laplace", CostModel(), LaplaceOptions()).join(df.select("scene", "row", "col", "psi", "mask"), ["scene", "row", "col"])
+    return out.select("row", "col", F.when(F.col("mask"), F.rint((F.col("unw") - F.col("psi")) / P.TWO_PI).cast("long")).alias("cycles"))
 
 
 def _small_arcs(spark, sf_dir) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
@@ -823,40 +838,42 @@ def _small_arcs(spark, sf_dir) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     return df, costs.build_costs(df, (25, shape[1]), NLOOKS), (25, shape[1])
 
 
-@query(f"""WITH {PX} SELECT 'band' || (r // 25) AS scene, true AS feasible, true AS not_worse FROM px GROUP BY ALL""")
+@query(f"""WITH {PX} SELECT 'band' || (r // 25) AS scene, true AS feasible, true AS cheaper, true AS no_pixel_to_move FROM px GROUP BY ALL""")
 def refine_flow(spark, sf_dir):
-    """Cycles cancelled from an integrated start; feasible and never dearer."""
+    """From an integrated start to flows that clear the residues, cost less, and that moving no pixel by a cycle makes cheaper."""
     df, arcs, shape = _small_arcs(spark, sf_dir)
     zero = df.withColumns({"krow": F.lit(0), "kcol": F.lit(0)})
     start = flow.seeded_flows(flow.integrate(zero))
     seeded = arcs.join(start, ["scene", "axis", "row", "col"])
     better = refine_flows(seeded, shape)
     before = costs.total_cost(seeded).withColumnRenamed("cost", "before")
-    after = costs.total_cost(arcs.join(better, ["scene", "axis", "row", "col"]))
+    judged = arcs.join(better, ["scene", "axis", "row", "col"])
+    after = costs.total_cost(judged)
     wide = flow.arc_flows_wide(better)
     down, across = grid.along("col"), grid.along("row")
     curl = F.col("kcol") - F.lead("krow").over(across) - F.lead("kcol").over(down) + F.col("krow")
     loops = wide.withColumn("curl", curl).join(flow.residues(df), ["scene", "row", "col"])
     sound = loops.groupBy("scene").agg((F.max(F.abs(F.col("curl") + F.col("residue"))) == 0).alias("feasible"))
-    return before.join(after, "scene").join(sound, "scene").select("scene", "feasible", (F.col("cost") <= F.col("before")).alias("not_worse"))
-
-
-def _complex(spark, sf_dir) -> tuple[DataFrame, tuple[int, int]]:
-    df = raster(spark, sf_dir)
-    smooth = 0.1 * F.col("row") + 0.2 * F.col("col") + 2 * F.col("v")
-    df = df.select("scene", "row", "col", F.cos(smooth).cast("float").alias("re"), F.sin(smooth).cast("float").alias("im"), F.lit(0.9).cast("float").alias("corr"), "mask")
-    return df, raster_shape(spark, sf_dir)
+    # A pixel that moves up by a cycle lowers the flow of the column arc after it and raises that of the row arc.
+    steps = costs.with_incremental(judged)
+    col, pos, neg = F.col("axis") == "col", F.col("poscost").cast("long"), F.col("negcost").cast("long")
+    first = steps.select("scene", "row", "col", F.when(col, neg).otherwise(pos).alias("up"), F.when(col, pos).otherwise(neg).alias("down"))
+    last = steps.select("scene", F.when(col, F.col("row")).otherwise(F.col("row") + 1).alias("row"), F.when(col, F.col("col") + 1).otherwise(F.col("col")).alias("col"), F.when(col, pos).otherwise(neg).alias("up"), F.when(col, neg).otherwise(pos).alias("down"))
+    moved = first.union(last).groupBy("scene", "row", "col").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    still = moved.groupBy("scene").agg((F.min(F.least("up", "down")) >= 0).alias("no_pixel_to_move"))
+    return before.join(after, "scene").join(sound, "scene").join(still, "scene").select("scene", "feasible", (F.col("cost") < F.col("before")).alias("cheaper"), "no_pixel_to_move")
 
 
 def _whole(spark, sf_dir, **options) -> DataFrame:
-    df, shape = _complex(spark, sf_dir)
+    """Whole cycles of valid pixels over the reference pixel; labels of the others."""
+    df, shape = known(spark, sf_dir)
     out = unwrap(df, shape, UnwrapOptions(10.0, **options))
-    phase = df.select("row", "col", P.wrapped_phase("re", "im").alias("psi"), "mask")
-    off = F.abs(P.wrap_signed(F.col("unw") - F.col("psi")))
-    return out.join(phase, ["row", "col"]).agg(F.count("*").alias("pixels"), (F.max(off) < 0.1).alias("congruent"), F.max(F.when(~F.col("mask"), F.col("conncomp"))).alias("masked_label"), (F.max("conncomp") > 0).alias("labelled"))
+    out = out.join(df.select("row", "col", P.wrapped_phase("re", "im").alias("psi"), "mask"), ["row", "col"])
+    cycles = F.rint((F.col("unw").cast("double") - F.col("psi")) / P.TWO_PI).cast("long")
+    return out.select("row", "col", F.when(F.col("mask"), cycles).alias("cycles"), F.when(F.col("mask"), F.col("conncomp") > 0).otherwise(F.col("conncomp") != 0).alias("labelled"))
 
 
-_WHOLE = f"""WITH {PX} SELECT count(*) AS pixels, true AS congruent, CAST(CASE WHEN count(*) FILTER (NOT mask) > 0 THEN 0 END AS BIGINT) AS masked_label, true AS labelled FROM px"""
+_WHOLE = f"""WITH {PX}, {TRUE} SELECT k.r AS "row", k.c AS "col", CASE WHEN k.valid THEN k.k - o.k END AS cycles, k.valid AS labelled FROM k JOIN k o ON o.r = 0 AND o.c = 0"""
 
 
 @query(_WHOLE)
@@ -873,11 +890,18 @@ def unwrap_mst(spark, sf_dir):
     return _whole(spark, sf_dir, init="mst", ntiles=(max(1, shape[0] // 100), 1), tile_overlap=8, min_conncomp_frac=0.001)
 
 
+@query(_WHOLE)
+def unwrap_defo(spark, sf_dir):
+    """Deformation costs, solved with their own shelf."""
+    shape = raster_shape(spark, sf_dir)
+    return _whole(spark, sf_dir, cost="defo", init="mcf", ntiles=(max(1, shape[0] // 100), 1), tile_overlap=8, min_conncomp_frac=0.001)
+
+
 @query(_WHOLE)
 def unwrap_laplace(spark, sf_dir):
     """Least squares in tiles, padded mask."""
     shape = raster_shape(spark, sf_dir)
-    return _whole(spark, sf_dir, init="laplace", ntiles=(max(1, shape[0] // 125), 1), tile_overlap=16, mask_pad_distance=2, min_conncomp_frac=0.001, laplace=LaplaceOptions(reweights=4))
+    return _whole(spark, sf_dir, init="laplace", ntiles=(max(1, shape[0] // 125), 1), tile_overlap=16, mask_pad_distance=2, min_conncomp_frac=0.001)
 
 
 @query(f"""WITH {PX} SELECT r AS "row", c AS "col", round(psi, 4) + 0.0 AS psi FROM (SELECT r, c, CAST(psi AS FLOAT)::DOUBLE AS psi FROM px)""")

@@ -10,12 +10,13 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from phasegrid.options import CostModel, LaplaceOptions
+from phasegrid.solvers.network import NO_PREFERENCE, DefoCost, LinearCost, Network, SmoothCost, improved_flow, least_cost_flow, steps
 
 TWO_PI = 2 * np.pi
 EPSILON = 1e-12  # fixed value: keeps the normal equations definite
-NO_PREFERENCE = 32000
 
 
 def wrap(x: np.ndarray) -> np.ndarray:
@@ -93,141 +94,6 @@ def laplace(psi: np.ndarray, w_row: np.ndarray, w_col: np.ndarray, options: Lapl
 # ---------------------------------------------------------------- network flow
 
 
-class Network:
-    """Residual arcs of a raster: nodes are 2 x 2 loops and the ground."""
-
-    def __init__(self, nrow: int, ncol: int):
-        self.nrow, self.ncol = nrow, ncol
-        self.ground = (nrow - 1) * (ncol - 1)
-        r, c = np.indices((nrow - 1, ncol))
-        node = lambda i, j: i * (ncol - 1) + j
-        tail_r = np.where(c == 0, self.ground, node(r, c - 1)).ravel()
-        head_r = np.where(c == ncol - 1, self.ground, node(r, c)).ravel()
-        r, c = np.indices((nrow, ncol - 1))
-        tail_c = np.where(r == 0, self.ground, node(r - 1, c)).ravel()
-        head_c = np.where(r == nrow - 1, self.ground, node(r, c)).ravel()
-        self.n_row = len(tail_r)
-        self.tail, self.head = np.concatenate([tail_r, tail_c]), np.concatenate([head_r, head_c])
-        self.loose = self.tail == self.head  # a raster of one loop wide
-
-
-def step_costs(flow: np.ndarray, offset: np.ndarray, sigsq: np.ndarray, ns: int, delta: int) -> np.ndarray:
-    """Exact change of floor(z*z / sigsq) for one more or less unit; 0 without preference."""
-    z = flow * ns + offset
-    cost = ((z + delta * ns) ** 2) // sigsq - z**2 // sigsq
-    return np.where(sigsq == NO_PREFERENCE, 0, cost)
-
-
-def least_cost_flow(net: Network, supply: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Linear minimum-cost flow that clears the residues: successive shortest paths with potentials.
-
-    `supply` of each loop must leave along the arcs; the ground takes the rest.
-    """
-    import heapq
-
-    n = net.ground + 1
-    flow = np.zeros(len(net.tail), np.int64)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    for e, (a, b) in enumerate(zip(net.tail.tolist(), net.head.tolist(), strict=True)):
-        if a != b:
-            out[a].append((e, 1, b))
-            out[b].append((e, -1, a))
-    cost = weight.tolist()
-    potential = [0] * n
-    left = [*supply.tolist(), -int(supply.sum())]
-    sources = [k for k in range(n) if left[k] > 0]
-    while sources:
-        dist: dict[int, int] = {k: 0 for k in sources}
-        via: dict[int, tuple[int, int, int]] = {}
-        heap, done, goal = [(0, k) for k in sources], set(), -1
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            done.add(u)
-            if left[u] < 0:
-                goal = u
-                break
-            for e, sign, v in out[u]:
-                # Undoing flow gives its cost back; adding flow costs the weight.
-                step = -cost[e] if flow[e] * sign < 0 else cost[e]
-                nd = d + step + potential[u] - potential[v]
-                if v not in dist or nd < dist[v]:
-                    dist[v] = nd
-                    via[v] = (u, e, sign)
-                    heapq.heappush(heap, (nd, v))
-        if goal < 0:
-            break
-        reach = dist[goal]
-        for k, d in dist.items():
-            if k in done:
-                potential[k] += d - reach
-        v = goal
-        while v in via:  # a source has no way in
-            u, e, sign = via[v]
-            flow[e] += sign
-            v = u
-        left[v] -= 1
-        left[goal] += 1
-        sources = [k for k in sources if left[k] > 0]
-    return flow
-
-
-def cancel_negative_cycles(net: Network, flow: np.ndarray, offset: np.ndarray, sigsq: np.ndarray, ns: int, max_flow: int | None = None, limit: int = 100_000) -> np.ndarray:
-    """Unit-step descent: find a negative cycle (queue-based Bellman-Ford), cancel it, until none is left.
-
-    For convex arc costs the result is optimal.
-    """
-    flow = flow.astype(np.int64).copy()
-    n = net.ground + 1
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    for e, (a, b) in enumerate(zip(net.tail.tolist(), net.head.tolist(), strict=True)):
-        if a != b:
-            out[a].append((e, 1, b))
-            out[b].append((e, -1, a))
-    off, var = offset.astype(np.int64), np.maximum(sigsq.astype(np.int64), 1)
-    up = step_costs(flow, off, var, ns, 1).tolist()
-    down = step_costs(flow, off, var, ns, -1).tolist()
-    dist, via, hops = [0] * n, [None] * n, [0] * n
-    queue, waiting = deque(range(n)), [True] * n
-    cancelled = 0
-    while queue and cancelled < limit:
-        u = queue.popleft()
-        waiting[u] = False
-        for e, sign, v in out[u]:
-            d = dist[u] + (up[e] if sign > 0 else down[e])
-            if d >= dist[v]:
-                continue
-            # Would v be its own ancestor?  Then the tree path and this arc close a cycle.
-            x, loop = u, [(e, sign)]
-            while x != v and via[x] is not None:
-                px, pe, ps = via[x]
-                loop.append((pe, ps))
-                x = px
-            if x == v:
-                touched = {v}
-                for pe, ps in loop:
-                    flow[pe] += ps
-                    z = int(flow[pe]) * ns + int(off[pe])
-                    s = int(var[pe])
-                    if s != NO_PREFERENCE:
-                        base = z * z // s
-                        up[pe], down[pe] = (z + ns) ** 2 // s - base, (z - ns) ** 2 // s - base
-                    touched |= {int(net.tail[pe]), int(net.head[pe])}
-                cancelled += 1
-                # Distances that hung on the changed arcs start again.
-                dist, via = [0] * n, [None] * n
-                queue, waiting = deque(range(n)), [True] * n
-                break
-            dist[v], via[v] = d, (u, e, sign)
-            if not waiting[v]:
-                waiting[v] = True
-                queue.append(v)
-        else:
-            continue
-    return flow
-
-
 def residue_supply(psi: np.ndarray) -> np.ndarray:
     """What each loop must send out: the arcs' flows have the opposite curl."""
     d_col, d_row = wrap(np.diff(psi, axis=1)) / TWO_PI, -wrap(np.diff(psi, axis=0)) / TWO_PI
@@ -235,10 +101,6 @@ def residue_supply(psi: np.ndarray) -> np.ndarray:
     return curl.ravel()
 
 
-def flow_planes(net: Network, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return flow[: net.n_row].reshape(net.nrow - 1, net.ncol), flow[net.n_row :].reshape(net.nrow, net.ncol - 1)
-
-
 def integrate(psi: np.ndarray, k_row: np.ndarray, k_col: np.ndarray) -> np.ndarray:
     first = np.concatenate([[psi[0, 0]], wrap(np.diff(psi[:, 0])) - TWO_PI * k_row[:, 0]]).cumsum()
     steps = wrap(np.diff(psi, axis=1)) + TWO_PI * k_col
@@ -295,56 +157,74 @@ def _plane(t: pd.DataFrame, value: str, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def _cost(t: dict[str, np.ndarray], model: CostModel):
+    """The cost of arcs with (offset, sigsq) or, with (dzmax, laycost) too, of deformation."""
+    if "dzmax" in t:
+        return DefoCost(t["offset"], t["sigsq"], t["dzmax"], t["laycost"], model.short_cycle)
+    return SmoothCost(t["offset"], t["sigsq"], model.short_cycle)
+
+
 def refine_flows(arcs: DataFrame, shape: tuple[int, int], model: CostModel = CostModel(), flow: str = "flow") -> DataFrame:
-    """(scene, axis, row, col, flow): each scene's flows after cancelling negative cycles."""
+    """(scene, axis, row, col, flow): each scene's flows when no cycle makes them cheaper.
+
+    A scene is one task's: about 300 bytes a pixel, 20 s for a million noisy pixels.
+    """
     nrow, ncol = shape
+    kinds = ["offset", "sigsq", *(c for c in ("dzmax", "laycost") if c in arcs.columns)]
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         net = Network(nrow, ncol)
         is_row = (t["axis"] == "row").to_numpy()
         at = np.where(is_row, t["row"] * ncol + t["col"], net.n_row + t["row"] * (ncol - 1) + t["col"])
-        f, off, var = (np.zeros(len(net.tail), np.int64) for _ in range(3))
-        f[at], off[at], var[at] = t[flow], t["offset"], t["sigsq"]
-        done = cancel_negative_cycles(net, f, off, np.where(var == 0, NO_PREFERENCE, var), model.short_cycle)
+        full = {k: np.full(net.n_arcs, NO_PREFERENCE if k == "sigsq" else 0, np.int64) for k in (*kinds, flow)}
+        for k, x in full.items():
+            x[at] = t[k]
+        done = improved_flow(net, full[flow], _cost(full, model), model.max_flow, early_exit=False)
         return pd.DataFrame({"scene": t["scene"], "axis": t["axis"], "row": t["row"], "col": t["col"], "flow": done[at].astype(np.int16)})
 
-    return arcs.select("scene", "axis", "row", "col", "offset", "sigsq", flow).groupBy("scene").applyInPandas(run, "scene string, axis string, row int, col int, flow short")
+    return arcs.select("scene", "axis", "row", "col", *kinds, flow).groupBy("scene").applyInPandas(run, "scene string, axis string, row int, col int, flow short")
+
+
+def solve_tile(psi: np.ndarray, arcs: dict[str, np.ndarray], magnitude: np.ndarray, init: str, model: CostModel, laplace_options: LaplaceOptions, early_exit: bool = True) -> np.ndarray:
+    """The unwrapped plane of one tile; `arcs` has the arcs' costs, row arcs first."""
+    net = Network(*psi.shape)
+    weight = np.where((arcs["sigsq"] > 0) & (arcs["sigsq"] < NO_PREFERENCE), 1.0 / np.maximum(arcs["sigsq"], 1), 0.0)
+    if min(psi.shape) < 2:  # a line has no loops: its steps are what they are
+        return integrate(psi, *net.planes(np.zeros(net.n_arcs)))
+    if init == "laplace":
+        return laplace(psi, *net.planes(weight), laplace_options)
+    cost, closed = _cost(arcs, model), net.masked_arcs(magnitude)
+    if init == "mcf" and cost.convex and not closed.any():
+        flow = least_cost_flow(net, residue_supply(psi), cost)  # the optimum at once
+    else:
+        if init == "mst":
+            flow = tree_flow(psi, *net.planes(weight))
+        else:
+            cheap = np.minimum(*steps(cost, np.zeros(net.n_arcs, np.int64)))
+            flow = least_cost_flow(net, residue_supply(psi), LinearCost(np.clip(cheap, model.min_cost, model.max_cost)))
+        flow = improved_flow(net, flow, cost, model.max_flow, closed, early_exit)
+    return integrate(psi, *net.planes(flow))
 
 
 def solve_tiles(pixels: DataFrame, init: str, model: CostModel, laplace_options: LaplaceOptions, early_exit: bool = True) -> DataFrame:
-    """(scene, tr, tc, row, col, unw) of pixels with psi and the costs of their arcs (off_r, var_r, off_c, var_c).
+    """(scene, tr, tc, row, col, unw) of pixels with psi, mag and the costs of their arcs (offset_r, offset_c, ...).
 
-    Arcs without costs (at the tile's last row and column) have nulls.
+    Arcs without costs (at the tile's last row and column) have nulls; without `mag` it is 1.
     """
+    kinds = [k for k in ("offset", "sigsq", "dzmax", "laycost") if f"{k}_r" in pixels.columns]
+    pixels = pixels if "mag" in pixels.columns else pixels.withColumn("mag", F.lit(1.0))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(t["row"].min()), int(t["col"].min())
         shape = int(t["row"].max()) - r0 + 1, int(t["col"].max()) - c0 + 1
         own = t.assign(row=t["row"] - r0, col=t["col"] - c0)
-        psi = _plane(own, "psi", shape)
-        off_r, var_r = (_plane(own.fillna({"off_r": 0, "var_r": NO_PREFERENCE}), k, shape)[:-1] for k in ("off_r", "var_r"))
-        off_c, var_c = (_plane(own.fillna({"off_c": 0, "var_c": NO_PREFERENCE}), k, shape)[:, :-1] for k in ("off_c", "var_c"))
-        weight = lambda v: np.where((v > 0) & (v < NO_PREFERENCE), 1.0 / np.maximum(v, 1), 0.0)
-        if min(shape) < 2:  # a line has no loops: its steps are what they are
-            u = integrate(psi, np.zeros((shape[0] - 1, shape[1])), np.zeros((shape[0], shape[1] - 1)))
-        elif init == "laplace":
-            u = laplace(psi, weight(var_r), weight(var_c), laplace_options)
-        else:
-            net = Network(*shape)
-            offset, sigsq = (np.concatenate([a.ravel(), b.ravel()]).astype(np.int64) for a, b in ((off_r, off_c), (var_r, var_c)))
-            sigsq = np.maximum(sigsq, 1)
-            if init == "mst":
-                flow = tree_flow(psi, weight(var_r), weight(var_c))
-            else:
-                zero = np.zeros(len(offset), np.int64)
-                cheap = np.minimum(step_costs(zero, offset, sigsq, model.short_cycle, 1), step_costs(zero, offset, sigsq, model.short_cycle, -1))
-                flow = least_cost_flow(net, residue_supply(psi), np.clip(cheap, model.min_cost, model.max_cost))
-            gain = min(step_costs(flow, offset, sigsq, model.short_cycle, d).min() for d in (1, -1))
-            if not early_exit or gain < 0:
-                flow = cancel_negative_cycles(net, flow, offset, sigsq, model.short_cycle)
-            u = integrate(psi, *flow_planes(net, flow))
+        arcs = {}
+        for k in kinds:
+            own = own.fillna({f"{k}_{x}": NO_PREFERENCE if k == "sigsq" else 0 for x in "rc"})
+            arcs[k] = np.concatenate([_plane(own, f"{k}_r", shape)[:-1].ravel(), _plane(own, f"{k}_c", shape)[:, :-1].ravel()]).astype(np.int64)
+        u = solve_tile(_plane(own, "psi", shape), arcs, _plane(own, "mag", shape), init, model, laplace_options, early_exit)
         at = own["row"].to_numpy(), own["col"].to_numpy()
         return pd.DataFrame({"scene": t["scene"], "tr": t["tr"], "tc": t["tc"], "row": t["row"], "col": t["col"], "unw": u[at]})
 
-    cols = ["scene", "tr", "tc", "row", "col", "psi", "off_r", "var_r", "off_c", "var_c"]
+    cols = ["scene", "tr", "tc", "row", "col", "psi", "mag", *(f"{k}_{x}" for k in kinds for x in "rc")]
     return pixels.select(*cols).groupBy("scene", "tr", "tc").applyInPandas(run, "scene string, tr int, tc int, row int, col int, unw double")

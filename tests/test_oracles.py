@@ -10,7 +10,7 @@ import pytest
 from phasegrid.queries import ORACLES, QUERIES
 
 #: Whole plans are tested in test_unwrap.
-SLOW = {"unwrap_mcf", "unwrap_mst", "unwrap_laplace"}
+SLOW = {"unwrap_mcf", "unwrap_mst", "unwrap_defo", "unwrap_laplace"}
 
 
 @pytest.fixture(scope="module")
