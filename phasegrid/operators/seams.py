@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.functions.phase import TWO_PI
+from phasegrid.operators.graph import written
 from phasegrid.operators.tiles import spans
 
 #: Window of the moving median, reach of a measurement, spike tolerance and samples.
@@ -28,21 +33,37 @@ def seam_profile(df: DataFrame, place: int, axis: str = "col", unw: str = "unw")
     return near.groupBy("scene", F.col(line).alias("line")).agg((side(place - 1) - side(place)).alias("diff"))
 
 
+def _seam_of(profile: DataFrame) -> list[str]:
+    return [c for c in ("scene", "place") if c in profile.columns]
+
+
+def seam_profiles(df: DataFrame, places: list[int], axis: str = "col", unw: str = "unw") -> DataFrame:
+    """(scene, place, line, diff) of all seams of an axis, from one pass over the pixels beside them."""
+    across, line = ("col", "row") if axis == "col" else ("row", "col")
+    near = df.where(F.col(across).isin(sorted({p - k for p in places for k in (0, 1)})))
+    # A pixel lies beside two seams where a tile has one line of its own.
+    side = F.explode(F.filter(F.array(*map(F.lit, places)), lambda p: (p == F.col(across)) | (p == F.col(across) + 1)))
+    near = near.select("scene", side.alias("place"), F.col(line).alias("line"), F.col(across).alias("_x"), F.when(F.col("mask"), F.col(unw)).alias("_u"))
+    before, after = F.max(F.when(F.col("_x") < F.col("place"), F.col("_u"))), F.max(F.when(F.col("_x") == F.col("place"), F.col("_u")))
+    return near.groupBy("scene", "place", "line").agg((before - after).alias("diff"))
+
+
 def upper_median(values: Column) -> Column:
     """Element n div 2 of the sorted array; null if it is empty."""
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
 def moving_median(profile: DataFrame, window: int = SMOOTH) -> DataFrame:
-    """Each measured step becomes the upper median of those within the window."""
-    w = Window.partitionBy("scene").orderBy("line").rowsBetween(-(window // 2), window // 2)
+    """Each measured step becomes the upper median of those of its seam within the window."""
+    w = Window.partitionBy(*_seam_of(profile)).orderBy("line").rowsBetween(-(window // 2), window // 2)
     return profile.withColumn("diff", F.when(F.col("diff").isNotNull(), upper_median(F.collect_list("diff").over(w))))
 
 
 def fill_gaps(profile: DataFrame, reach: int = REACH) -> DataFrame:
     """Short gaps are interpolated, others fade to zero within `reach` lines; beyond that null."""
-    back = Window.partitionBy("scene").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("scene").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
+    seam = _seam_of(profile)
+    back = Window.partitionBy(*seam).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*seam).orderBy("line").rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("diff").isNotNull(), F.struct("line", "diff"))
     p = profile.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_q": F.first(known, ignorenulls=True).over(ahead)})
     i, a, b = F.col("line"), F.col("_p.line"), F.col("_q.line")
@@ -65,14 +86,55 @@ def seam_apply(df: DataFrame, profile: DataFrame, place: int, feather: int, axis
     return df.withColumn(unw, F.when(inside, F.col(unw) + F.col("_step") * (1.0 - (x - place) / float(feather))).otherwise(F.col(unw))).drop("_step")
 
 
+def _share(x: int, place: int, feather: int) -> float:
+    """How much of a seam's step a line gets."""
+    return 1.0 - (x - place) / float(feather) if place <= x < place + feather else 0.0
+
+
+def seam_steps(df: DataFrame, places: list[int], feather: int, axis: str = "col", unw: str = "unw") -> DataFrame:
+    """(scene, place, line, diff): the filled step of every seam, each measured on what the ones before changed.
+
+    The pixels are read once.  Where no seam lies within the feather of another,
+    all seams are one table keyed by seam; else the small table of profiles is
+    worked through seam by seam, each written.
+    """
+    profiles = seam_profiles(df, places, axis, unw)
+    moved = {k: [(j, w) for j in places[:n] if (w := _share(k - 1, j, feather) - _share(k, j, feather))] for n, k in enumerate(places)}
+    if not any(moved.values()):
+        return fill_gaps(moving_median(profiles))
+    profiles, filled = written(profiles), {}
+    for k in places:
+        own = profiles.where(F.col("place") == k)
+        for j, w in moved[k]:
+            before = filled[j].select("scene", "line", F.col("diff").alias("_step"))
+            own = own.join(before, ["scene", "line"], "left").withColumn("diff", F.col("diff") + w * F.coalesce("_step", F.lit(0.0))).drop("_step")
+        filled[k] = written(fill_gaps(moving_median(own)))
+    return reduce(DataFrame.union, (f.select("scene", "place", "line", "diff") for f in filled.values()))
+
+
+def seams_apply(df: DataFrame, steps: DataFrame, feather: int, axis: str = "col", unw: str = "unw") -> DataFrame:
+    """Add the filled steps of all seams of an axis, in the order of the seams: one join by line."""
+    across, line = ("col", "row") if axis == "col" else ("row", "col")
+    found = steps.where("diff is not null").groupBy("scene", F.col("line").alias(line)).agg(F.array_sort(F.collect_list(F.struct("place", "diff"))).alias("_steps"))
+    x = F.col(across)
+
+    def add(total: Column, e: Column) -> Column:
+        inside = (x >= e["place"]) & (x < e["place"] + feather)
+        return F.when(inside, total + e["diff"] * (1.0 - (x - e["place"]) / float(feather))).otherwise(total)
+
+    new = F.aggregate("_steps", F.col(unw).cast("double"), add)
+    return df.join(found, ["scene", line], "left").withColumn(unw, F.when(F.col("mask") & F.col("_steps").isNotNull(), new).otherwise(F.col(unw))).drop("_steps")
+
+
 def neighbour_feedback(df: DataFrame, shape: tuple[int, int], ntiles: tuple[int, int], overlap: tuple[int, int], feather: int = 200, unw: str = "unw") -> DataFrame:
     """All column seams in order, then all row seams; each sees what the ones before changed."""
     if feather <= 0:
         return df
     df = df if "mask" in df.columns else df.withColumn("mask", F.lit(True))
     for axis, k in (("col", 1), ("row", 0)):
-        for place in seam_places(shape[k], ntiles[k], overlap[k]):
-            df = seam_apply(df, fill_gaps(moving_median(seam_profile(df, place, axis, unw))), place, feather, axis, unw)
+        if places := seam_places(shape[k], ntiles[k], overlap[k]):
+            # Written: the other axis reads the result twice, to measure and to correct it.
+            df = written(seams_apply(df, seam_steps(df, places, feather, axis, unw), feather, axis, unw))
     return df
 
 
@@ -83,27 +145,27 @@ def line_medians(df: DataFrame, axis: str = "row", unw: str = "unw") -> DataFram
     return df.groupBy("scene", F.col(axis).alias("line")).agg(F.when(F.count(value) > SPIKE_SAMPLES, upper_median(found)).alias("median"))
 
 
-def spike_cycles(medians: DataFrame) -> DataFrame:
-    """(scene, line, cycles) of the lines that jump by whole cycles and back.
+def _fold(t: pa.Table) -> pa.Table:
+    """A scene's lines in order; a corrected line counts as corrected for the next."""
+    t = t.sort_by("line")
+    lines, m = t.column("line").to_pylist(), [math.nan if x is None else x for x in t.column("median").to_pylist()]
+    out: list[tuple[int, float]] = []
+    last = m[0]
+    for k in range(1, len(m) - 1):
+        up, down = m[k] - last, m[k] - m[k + 1]
+        n, other = (math.copysign(math.floor(abs(d) / TWO_PI + 0.5), d) if d == d else math.nan for d in (up, down))
+        hit = n != 0 and n == other and abs(up - n * TWO_PI) <= SPIKE_TOLERANCE and abs(down - n * TWO_PI) <= SPIKE_TOLERANCE
+        last = m[k] - (n * TWO_PI if hit else 0.0)
+        if hit:
+            out.append((lines[k], n))
+    scene = pa.array([t.column("scene")[0].as_py()] * len(out), pa.string())
+    return pa.table({"scene": scene, "line": pa.array([x for x, _ in out], pa.int32()), "cycles": pa.array([n for _, n in out], pa.float64())})
 
-    A corrected line counts as corrected for the next, so the lines of a scene
-    (one number each) are folded in order.
-    """
-    lines = medians.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("line", "median"))).alias("m"))
-    cycles = lambda x: F.round(x / TWO_PI)
-
-    def step(acc: Column, k: Column) -> Column:
-        m = F.col("m")
-        before, here, after = acc["last"], F.element_at(m, k)["median"], F.element_at(m, k + 1)["median"]
-        up, down = here - before, here - after
-        n = cycles(up)
-        hit = (n != 0) & (n == cycles(down)) & (F.abs(up - n * TWO_PI) <= SPIKE_TOLERANCE) & (F.abs(down - n * TWO_PI) <= SPIKE_TOLERANCE)
-        n = F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0.0)
-        return F.struct((here - n * TWO_PI).alias("last"), F.concat(acc["out"], F.array(F.struct(F.element_at(m, k)["line"].cast("int").alias("line"), n.alias("cycles")))).alias("out"))
-
-    start = F.struct(F.element_at("m", 1)["median"].alias("last"), F.array().cast("array<struct<line:int,cycles:double>>").alias("out"))
-    folded = F.when(F.size("m") > 2, F.aggregate(F.sequence(F.lit(2), F.greatest(F.size("m") - 1, F.lit(2))), start, step)["out"])
-    return lines.select("scene", F.explode(folded).alias("e")).select("scene", "e.line", "e.cycles").where("cycles <> 0")
+
+def spike_cycles(medians: DataFrame) -> DataFrame:
+    """(scene, line, cycles) of the lines that jump by whole cycles and back: one number a line, folded in order."""
+    lines = medians.select("scene", F.col("line").cast("int").alias("line"), F.col("median").cast("double").alias("median"))
+    return lines.groupBy("scene").applyInArrow(_fold, "scene string, line int, cycles double")
 
 
 def fix_spikes_along(df: DataFrame, axis: str = "row", unw: str = "unw") -> DataFrame:

@@ -27,16 +27,19 @@ def geometry(spark: SparkSession, shape: tuple[int, int], ntiles: tuple[int, int
     return rows.crossJoin(cols).select("tr", "tc", "first_row", "first_col", "nrow", "ncol")
 
 
-def split(df: DataFrame, shape: tuple[int, int], ntiles: tuple[int, int], overlap: tuple[int, int]) -> DataFrame:
-    """Each pixel once for each tile that holds it: tile ids are computed, not joined.
+def _div(a, b: int):
+    return F.call_function("div", a, F.lit(b))
 
-    A pixel lies in at most (1 + overlap lines) tiles, found from the spans.
-    """
+
+def split(df: DataFrame, shape: tuple[int, int], ntiles: tuple[int, int], overlap: tuple[int, int]) -> DataFrame:
+    """Each pixel once for each tile that holds it: the first and the last such tile are arithmetic, not looked up."""
 
     def ids(name: str, k: int):
-        x = F.col(name)
-        cases = [F.when((x >= a) & (x < b), t) for t, (a, b) in enumerate(spans(shape[k], ntiles[k], overlap[k]))]
-        return F.explode(F.array_compact(F.array(*cases)))
+        x, n, tiles = F.col(name).cast("long"), max(1, shape[k] - overlap[k]), ntiles[k]
+        # Tile t starts at t * n div tiles, and ends where the next starts, overlap lines later.
+        last = F.least(_div((x + 1) * tiles - 1, n), F.lit(tiles - 1))
+        first = F.least(_div(F.greatest(x - overlap[k] + 1, F.lit(0)) * tiles + n - 1, n) - 1, F.lit(tiles - 1))
+        return F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.greatest(last, F.lit(0)).cast("int")))
 
     return df.withColumn("tr", ids("row", 0)).withColumn("tc", ids("col", 1))
 
@@ -58,17 +61,14 @@ def neighbour_offsets(tiles: DataFrame, shape: tuple[int, int], ntiles: tuple[in
     k, me, other, line = (1, "tc", "tr", "col") if axis == "horizontal" else (0, "tr", "tc", "row")
     if overlap[k] <= 0:
         return tiles.select("scene", "tr", "tc").distinct().where(f"{me} > 0").withColumn("cycles", F.lit(0.0))
-    strip = spans(shape[k], ntiles[k], overlap[k])
-    x = F.col(line)
+    x, n = F.col(line), max(1, shape[k] - overlap[k])
     good = F.col("corr") >= floor
     if "conf" in tiles.columns:
         good = good & F.col("conf")
-    tail = F.lit(False)
-    head = F.lit(False)
-    for t in range(1, ntiles[k]):
-        inside = (x >= strip[t][0]) & (x < strip[t][0] + overlap[k])
-        head = head | ((F.col(me) == t) & inside)
-        tail = tail | ((F.col(me) == t - 1) & inside)
+    start = lambda t: _div(t.cast("long") * n, ntiles[k])
+    strip = lambda t: (x >= start(t)) & (x < start(t) + overlap[k])
+    head = (F.col(me) > 0) & strip(F.col(me))
+    tail = (F.col(me) < ntiles[k] - 1) & strip(F.col(me) + 1)
     names = ["scene", other, "row", "col"]
     left = tiles.where(good & tail).select(*names, (F.col(me) + 1).alias(me), F.col("unw").alias("u0"), F.col("corr").alias("c0"))
     right = tiles.where(good & head).select(*names, me, F.col("unw").alias("u1"), F.col("corr").alias("c1"))
@@ -100,11 +100,10 @@ def owned(df: DataFrame, shape: tuple[int, int], ntiles: tuple[int, int], overla
     """Of the copies of a pixel, the one that the merge keeps: the last tile that starts half an overlap before."""
 
     def owner(name: str, k: int):
-        x, out = F.col(name), F.lit(0)
-        for t, (a, _) in enumerate(spans(shape[k], ntiles[k], overlap[k])):
-            if t:
-                out = F.when(x >= a + overlap[k] // 2, t).otherwise(out)
-        return out
+        # The last t with t * n div tiles + overlap div 2 <= x.
+        n = max(1, shape[k] - overlap[k])
+        t = _div((F.col(name).cast("long") - overlap[k] // 2 + 1) * ntiles[k] - 1, n)
+        return F.least(F.greatest(t, F.lit(0)), F.lit(ntiles[k] - 1))
 
     return df.where((F.col("tr") == owner("row", 0)) & (F.col("tc") == owner("col", 1)))
 

@@ -331,11 +331,11 @@ def total_cost(spark, sf_dir):
     return costs.total_cost(_flowing(spark, sf_dir)).select("cost")
 
 
-@query(f"""WITH {ARCS}, i AS (SELECT {incr_sql('0')} FROM arcs WHERE axis = 'col')
+@query(f"""WITH {ARCS}, i AS (SELECT {incr_sql('0')} FROM arcs)
 SELECT CAST(sigsq AS SMALLINT) AS sigsq, CAST(sign(least(poscost, negcost)) AS INTEGER) AS gain, count(*) AS arcs FROM i GROUP BY ALL""")
 def arc_reliability(spark, sf_dir):
     """Flagship: arcs by variance and by the sign of their cheaper unit step."""
-    arcs = costs.with_incremental(arcs_of(spark, sf_dir, axis="col"), F.lit(0))
+    arcs = costs.with_incremental(arcs_of(spark, sf_dir), F.lit(0))
     gain = F.signum(F.least("poscost", "negcost")).cast("int").alias("gain")
     return arcs.groupBy("sigsq", gain).agg(F.count("*").alias("arcs"))
 
@@ -681,12 +681,13 @@ def ref_region(spark, sf_dir):
     return B.reference_region(_stripes(spark, sf_dir)).select("label", "n")
 
 
-@query(f"""WITH {_STRIPES} SELECT round(sum(CAST(r AS DOUBLE) * r), 3) AS g_0_0, round(sum(CAST(r AS DOUBLE) * c), 3) AS g_0_1, round(sum(CAST(r AS DOUBLE)), 3) AS g_0_2, round(sum(CAST(c AS DOUBLE) * c), 3) AS g_1_1, round(sum(CAST(c AS DOUBLE)), 3) AS g_1_2,
-round(sum(CAST(1 AS DOUBLE)), 3) AS g_2_2, round(sum(r * unw), 3) AS y_0, round(sum(c * unw), 3) AS y_1, round(sum(unw), 3) AS y_2 FROM lb WHERE label = 1 AND unw <> 0 AND r % 3 = 1 AND c % 3 = 1""")
+@query(f"""WITH {_STRIPES} SELECT label, round(sum(CAST(r AS DOUBLE) * r), 3) AS g_0_0, round(sum(CAST(r AS DOUBLE) * c), 3) AS g_0_1, round(sum(CAST(r AS DOUBLE)), 3) AS g_0_2, round(sum(CAST(c AS DOUBLE) * c), 3) AS g_1_1, round(sum(CAST(c AS DOUBLE)), 3) AS g_1_2,
+round(sum(CAST(1 AS DOUBLE)), 3) AS g_2_2, round(sum(r * unw), 3) AS y_0, round(sum(c * unw), 3) AS y_1, round(sum(unw), 3) AS y_2 FROM lb WHERE label > 0 AND unw <> 0 GROUP BY label""")
 def ramp_sums(spark, sf_dir):
-    """Normal equations of a plane over one region, every third line."""
-    sums = B.ramp_sums(_stripes(spark, sf_dir).where("label = 1"), "linear", 3)
-    return sums.select(*[F.round(c, 3).alias(c) for c in sums.columns if c != "scene"])
+    """Normal equations of a plane over each whole region."""
+    own = _stripes(spark, sf_dir).where("label > 0").withColumn("scene", F.col("label").cast("string"))
+    sums = B.ramp_sums(own, "linear")
+    return sums.select(F.col("scene").cast("long").alias("label"), *[F.round(c, 3).alias(c) for c in sums.columns if c != "scene"])
 
 
 @query(f"""WITH {_STRIPES} SELECT r AS "row", c AS "col", round(unw - (CAST(0.02 AS DOUBLE) * r + CAST(0.015 AS DOUBLE) * c + CAST(0.5 AS DOUBLE) * 1), 6) + 0.0 AS unw FROM lb""")
@@ -700,6 +701,10 @@ _BOUND = """bd AS (SELECT p.r, p.c, p.label FROM lb p JOIN lb q ON q.r BETWEEN p
 pt AS (SELECT r, c, label, k // s AS i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, c) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY label) // 24) AS s FROM bd) WHERE k % s = 0 AND k // s < 24)"""
 
 
+#: With the production cap, which is no cap for regions of this size.
+_WHOLE_BOUND = _BOUND.replace("24", "4096")
+
+
 @query(f"""WITH {_STRIPES}, {_BOUND} SELECT r AS "row", c AS "col", label FROM bd""")
 def boundary(spark, sf_dir):
     """R10."""
@@ -712,12 +717,12 @@ def boundary_sample(spark, sf_dir):
     return B.sample_boundary(B.boundary(_stripes(spark, sf_dir)), 24).select("label", "row", "col", "local")
 
 
-@query(f"""WITH {_STRIPES}, {_BOUND}, pr AS (SELECT a.label AS li, b.label AS lj, CAST(floor(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) * 64) AS BIGINT) AS q, a.i, b.i AS j, a.r AS y0, a.c AS x0, b.r AS y1, b.c AS x1 FROM pt a JOIN pt b ON a.label <> b.label),
+@query(f"""WITH {_STRIPES}, {_WHOLE_BOUND}, pr AS (SELECT a.label AS li, b.label AS lj, CAST(floor(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) * 64) AS BIGINT) AS q, a.i, b.i AS j, a.r AS y0, a.c AS x0, b.r AS y1, b.c AS x1 FROM pt a JOIN pt b ON a.label <> b.label),
 m AS (SELECT li, lj, min({{'q': q, 'i': i, 'j': j, 'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}}) AS k FROM pr GROUP BY li, lj)
 SELECT li, lj, k.q AS q, k.y0 AS y0, k.x0 AS x0, k.y1 AS y1, k.x1 AS x1 FROM m""")
 def nn_pairs(spark, sf_dir):
     """Nearest points of each pair of regions."""
-    points = B.sample_boundary(B.boundary(_stripes(spark, sf_dir)), 24)
+    points = B.sample_boundary(B.boundary(_stripes(spark, sf_dir)))
     return B.nearest_pairs(points).select("li", "lj", "q", "y0", "x0", "y1", "x1")
 
 
@@ -738,11 +743,11 @@ def bridge(spark, sf_dir):
     return out.select("row", "col", r6("unw").alias("unw"), F.col("conncomp").cast("long").alias("conncomp"))
 
 
-@query(f"""WITH {_STRIPES}, {_BOUND} SELECT a.label AS a, b.label AS b, a.i, b.i AS j, CAST(floor(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) * 64) AS BIGINT) AS q
+@query(f"""WITH {_STRIPES}, {_WHOLE_BOUND} SELECT a.label AS a, b.label AS b, a.i, b.i AS j, CAST(floor(sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) * 64) AS BIGINT) AS q
 FROM pt a JOIN pt b ON b.label = a.label + 1 AND a.i = b.i""")
 def packed_keys(spark, sf_dir):
     """M9: ordering key of the points with the same number of two neighbouring regions."""
-    p = B.sample_boundary(B.boundary(_stripes(spark, sf_dir)), 24).select("label", "row", "col", "local")
+    p = B.sample_boundary(B.boundary(_stripes(spark, sf_dir))).select("label", "row", "col", "local")
     other = p.select((F.col("label") - 1).alias("label"), F.col("row").alias("y"), F.col("col").alias("x"), "local")
     k = P.packed_distance(F.col("y") - F.col("row"), F.col("x") - F.col("col"), "local", "local")
     return p.join(other, ["label", "local"]).select(F.col("label").alias("a"), (F.col("label") + 1).alias("b"), F.col("local").cast("long").alias("i"), F.col("local").cast("long").alias("j"), k["q"].alias("q"))

@@ -1,7 +1,10 @@
 """The public API on analytic rasters."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import phasegrid as P
 from phasegrid.operators import bridge as B
@@ -156,6 +159,63 @@ def test_seams(spark):
     assert np.allclose(out[[0, 50, 350, 399], 110], 15) and abs(out[195, 100] - 10) < 0.5
 
 
+def plain_steps(d):
+    """Upper medians of 21 lines, gaps filled from the measured lines on both sides."""
+    measured = np.flatnonzero(~np.isnan(d))
+    med = {i: np.sort(d[max(0, i - 10) : i + 11][~np.isnan(d[max(0, i - 10) : i + 11])]) for i in measured}
+    out = np.full(len(d), np.nan)
+    for i in range(len(d)):
+        before, after = measured[measured <= i], measured[measured >= i]
+        a, b = (before[-1] if len(before) else None), (after[0] if len(after) else None)
+        x, y = (None if k is None else med[k][len(med[k]) // 2] for k in (a, b))
+        if a == i:
+            out[i] = x
+        elif a is not None and b is not None and b - a <= 84:
+            out[i] = x + (i - a) / (b - a) * (y - x)
+        elif a is not None and i - a <= 42:
+            out[i] = x * (1 - (i - a) / 42)
+        elif b is not None and b - i <= 42:
+            out[i] = y * (1 - (b - i) / 42)
+    return out
+
+
+def plain_feedback(unw, mask, ntiles, feather):
+    """Seam after seam on arrays."""
+    u = unw.copy()
+    for v, m, n in ((u, mask, ntiles[1]), (u.T, mask.T, ntiles[0])):
+        for place in seams.seam_places(v.shape[1], n, 0):
+            step = plain_steps(np.where(m[:, place - 1] & m[:, place], v[:, place - 1] - v[:, place], np.nan))
+            for x in range(place, min(place + feather, v.shape[1])):
+                ok = ~np.isnan(step) & m[:, x]
+                v[ok, x] += step[ok] * (1 - (x - place) / feather)
+    return u
+
+
+@pytest.mark.parametrize(("feather", "ntiles"), [(6, (2, 4)), (25, (3, 4)), (200, (2, 5))])
+def test_many_seams_at_once(spark, feather, ntiles):
+    """Short feathers, and long ones that reach over the next seams."""
+    rng = np.random.default_rng(4)
+    unw = ramp(40, 60, 0.02, 0.01) + rng.normal(0, 0.2, (40, 60))
+    unw[:, 15:] += 1.5
+    unw[:, 40:] -= 2.5
+    unw[20:] += 0.8
+    mask = rng.random(unw.shape) > 0.1
+    out = seams.neighbour_feedback(as_df(spark, unw, mask), unw.shape, ntiles, (0, 0), feather)
+    want = plain_feedback(unw, mask, ntiles, feather)
+    assert np.allclose(to_arrays(out, unw.shape, "unw")["unw"], want, atol=1e-4)
+
+
+@pytest.mark.parametrize(("n", "count", "overlap"), [(50, 1, 0), (50, 7, 0), (53, 4, 5), (40, 6, 11), (97, 9, 2)])
+def test_tile_ids(spark, n, count, overlap):
+    """Against the spans, also where a pixel lies in more than two tiles."""
+    df = spark.range(n).select(F.lit("s").alias("scene"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"))
+    spans = tiles.spans(n, count, overlap)
+    parts = tiles.split(df, (n, 1), (count, 1), (overlap, 0))
+    assert Counter((r["row"], r["tr"], r["tc"]) for r in parts.collect()) == Counter((x, t, 0) for t, (a, b) in enumerate(spans) for x in range(a, b))
+    own = {r["row"]: r["tr"] for r in tiles.owned(parts, (n, 1), (count, 1), (overlap, 0)).collect()}
+    assert own == {x: max(t for t, (a, _) in enumerate(spans) if t == 0 or x >= a + overlap // 2) for x in range(n)}
+
+
 def test_dilation(spark):
     point = np.zeros((21, 21), bool)
     point[10, 10] = True
