@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Raw text bytes of one block (a longer document is a block of its own).
-BLOCK_BYTES = 6_000_000
+#: Raw bytes of one block, the other columns' too (a longer document is a block of its own), and its most rows.
+BLOCK_BYTES, BLOCK_ROWS = 6_000_000, 100_000
 
 #: Stands for a null doc_id inside a block; it sorts before all others.
 NO_ID = -(2**63)
@@ -98,30 +98,32 @@ def _pack(block_bytes: int, others: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        count, ids, texts, size, rest = 0, [], [], 0, []
+        count, ids, texts, size, rest, wide = 0, [], [], 0, [], 0.0
         press = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
-            nonlocal count, ids, texts, size, rest
+            nonlocal count, ids, texts, size, rest, wide
             lens = np.array([-1 if t is None else len(t) for t in texts], "<i8")
             row = [
                 (part << 32) + count, len(ids), size, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(),
                 np.packbits(lens < 0).tobytes(), np.maximum(lens, 0).tobytes(), press.compress(b"".join(t or b"" for t in texts)),
                 press.compress(_ipc(pa.Table.from_batches(rest))) if others else b"",
             ]
-            count, ids, texts, size, rest = count + 1, [], [], 0, []
+            count, ids, texts, size, rest, wide = count + 1, [], [], 0, [], 0.0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for b in batches:
             start = 0
             own = pa.RecordBatch.from_arrays(b.columns[2:], others) if others else None
+            each = own.nbytes / max(own.num_rows, 1) if others else 0.0
             for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 data = text.as_py()
                 data = None if data is None else data.encode()
                 ids.append(doc)
                 texts.append(data)
                 size += len(data or b"")
-                if size >= block_bytes:
+                wide += each
+                if size + wide >= block_bytes or len(ids) >= BLOCK_ROWS:
                     if others:
                         rest.append(own.slice(start, k + 1 - start))
                     start = k + 1

@@ -1,15 +1,19 @@
 """Operator 7: repeated passages by seed and extend.
 
-Seeds are winnowed anchors: the smallest hash of 16 consecutive words in every
-20 of them, so equal windows of 35 words have the same anchor at the same place.
-Anchors are joined over the corpus (packed blocks, one entry for each block).
-From an anchor that occurs elsewhere the match is extended both ways a word at
-a time, over the windows that the anchor stands for: windows are compared by
-their hashes over the corpus, and the matched windows' union gives the maximal
-repeats.  No pair of documents is ever formed, so a passage in a third of the
-corpus costs one entry for each block.
-
-Hashes have 64 bits besides the bucket's; words are hashed by XXH64.  `keep`
+Seeds are winnowed anchors: the smallest hash of 10 consecutive words in every
+26 of them, so equal windows of 35 words have the same anchor at the same place.
+Anchors are counted over the corpus (packed blocks, one entry for each block);
+those that occur once are settled.  The others' occurrences are joined: each
+goes with the words round it, as far as a window with this anchor reaches, to
+the shard of the anchor's hash - once for each block and different context, with
+the number of its places.  There all occurrences of an anchor are extended to
+the left and to the right a word at a time: occurrences with the same words so
+far stay in one class, so a match is extended for all that share it at once and
+no pair is formed.  A left and a right extension that together have 35 words are
+a repeat if their class has two places; repeats that overlap or touch make the
+maximal repeats, whose words go.
+
+Words are compared, not hashes; an anchor's hash only says where to meet.  `keep`
 says what stays of a repeat: "none" (every occurrence goes) or "first" (the one
 in the smallest doc_id, leftmost, stays).
 
@@ -27,11 +31,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
-from phasegrid.llm.common import Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import MESSAGE, Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
-ANCHOR, WINDOW = 16, 35
+ANCHOR, WINDOW = 10, 35
 #: Text bytes for each bucket: about 4 MB of hashes and their answers.
 BUCKET_BYTES = 32_000_000
 
@@ -50,11 +55,18 @@ class Sequence:
         n = max(0, total - window + 1)
         #: Starts of windows that lie in one document.
         self.starts = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :][:n]) if n else np.zeros(0, np.int64)
-        self.hash = mix(window_hash(flat, window, 0x9E3779B97F4A7C15))[self.starts] if n else np.zeros(0, np.uint64)
         seeds = mix(window_hash(flat, anchor, 0xD1B54A32D192ED03)) if n else np.zeros(0, np.uint64)
         self.place = minimizers(seeds, window - anchor + 1)[self.starts] if n else np.zeros(0, np.int64)
         self.anchor = seeds[self.place]
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count): consecutive windows of a document with their anchor at one place, as ranges of `starts`."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = np.concatenate([[True], (np.diff(self.place) != 0) | (np.diff(self.starts) != 1)])
+        first = np.flatnonzero(cut)
+        return first, np.diff(np.append(first, len(self.starts)))
+
 
 def _often(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different values, sorted, and whether each occurs more than once."""
@@ -101,48 +113,115 @@ def _flags(values: np.ndarray, replies: dict[int, bytes], buckets: int) -> np.nd
     return out
 
 
-def _candidates(s: Sequence, replies: dict[int, bytes], buckets: int) -> np.ndarray:
-    """Windows whose anchor occurs elsewhere."""
-    values, _ = _seeds(s)
-    hit = _flags(values, replies, buckets)
-    return hit[np.searchsorted(values, s.anchor)] if len(values) else np.zeros(0, bool)
-
-
-ROUND2 = "bucket long, block long, blob binary"
-
-
-def _windows(s: Sequence, chosen: np.ndarray, ids: np.ndarray):
-    """Different candidate windows, whether often, and the smallest doc_id with each."""
-    h, doc = s.hash[chosen], ids[s.doc[s.starts[chosen]]]
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(h)))
-    return h[at], counts > 1, doc[at]
+class Contexts:
+    """A block's runs whose anchor occurs elsewhere, and their different contexts in the order of the anchors.
+
+    A context is the words of all windows of a run, joined by one space.
+    """
+
+    def __init__(self, s: Sequence, replies: dict[int, bytes], buckets: int, ids: np.ndarray):
+        values, _ = _seeds(s)
+        hit = _flags(values, replies, buckets)
+        first, count = s.runs()
+        use = hit[np.searchsorted(values, s.anchor[first])] if len(values) else np.zeros(0, bool)
+        first, count = first[use], count[use]
+        order = np.lexsort((first, ids[s.doc[s.starts[first]]], s.anchor[first]))
+        self.first, self.count = first[order], count[order]
+        start = s.starts[self.first]
+        flat = list(chain.from_iterable(s.words))
+        index: dict[bytes, int] = {}
+        texts = (b" ".join(flat[a : a + n]) for a, n in zip(start.tolist(), (self.count + s.window - 1).tolist(), strict=True))
+        #: Of each run its context.
+        self.which = np.fromiter((index.setdefault(t, len(index)) for t in texts), np.int64, len(start))
+        self.texts = list(index)
+        seen = np.unique(self.which, return_index=True)[1]
+        self.anchors = s.anchor[self.first[seen]]
+        self.offsets = (s.place[self.first] - start)[seen].astype("<i4")
+        self.places = np.bincount(self.which, minlength=len(index)).astype("<i4")
+        self.least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.which, ids[s.doc[start]])
+
+    def messages(self, buckets: int):
+        for b, x, y in split_by_bucket(self.anchors, buckets):
+            heads = (self.anchors[x:y].astype("<u8"), self.offsets[x:y], self.places[x:y], self.least[x:y].astype("<i8"))
+            yield b, frames(*(h.tobytes() for h in heads), zstandard.ZstdCompressor(level=3).compress(b"\n".join(self.texts[x:y])))
+
+
+def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of the different (class so far, next word)."""
+    order = np.lexsort((word, before))
+    a, b = before[order], word[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)])
+    return out
 
 
-def _shared_first(blobs: list[bytes]) -> list[bytes]:
-    """As _shared, and whether the message holds the smallest doc_id (earliest message of equals)."""
+def extend(anchor: np.ndarray, offset: np.ndarray, places: np.ndarray, least: np.ndarray, texts: list[bytes], length: int = ANCHOR, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and window of it: whether it has two places, and the rank of the first context with it.
+
+    `least` ranks the contexts; of equal ranks the earlier.  Windows that a context doesn't have are False.
+    """
+    n, reach = len(texts), window - length
+    words = [t.split(b" ") for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    begin = np.cumsum(size) - size
+    number: dict[bytes, int] = {}
+    flat = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int64, int(size.sum()))
+    del words
+    at = begin + offset
+    core = _classes(np.zeros(n, np.int64), anchor.view(np.int64))
+    for k in range(length):
+        core = _classes(core, flat[at + k])
+
+    def side(step: int, room: np.ndarray, origin: np.ndarray) -> list[np.ndarray]:
+        out = [core]
+        for k in range(1, reach + 1):
+            own = np.flatnonzero(room >= k)
+            here = np.full(n, -1)
+            here[own] = _classes(out[-1][own], flat[origin[own] + step * k])
+            out.append(here)
+        return out
+
+    left = side(-1, offset, at)
+    right = side(1, size - offset - length, at + length - 1)
+    twice, first = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), np.int64)
+    by_rank = np.lexsort((np.arange(n), least))
+    for k in range(reach + 1):  # k words to the left of the anchor: window number offset - k
+        own = by_rank[(left[k][by_rank] >= 0) & (right[reach - k][by_rank] >= 0)]
+        if not len(own):
+            continue
+        group = _classes(left[k][own], right[reach - k][own])
+        twice[own, offset[own] - k] = np.bincount(group, places[own])[group] > 1
+        lead = np.full(group.max() + 1, n)
+        np.minimum.at(lead, group, np.arange(len(own)))
+        first[own, offset[own] - k] = own[lead][group]
+    return twice, first
+
+
+def _shard(blobs: list[bytes]) -> list[bytes]:
+    """For each context of each message: which of its windows repeat, and of which it is the first place."""
     got = [unframe(x) for x in blobs]
-    values = [unpack_u64(v) for v, *_ in got]
-    every = np.concatenate(values)
-    flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool) for (_, f, _), v in zip(got, values, strict=True)])
-    docs = np.concatenate([np.frombuffer(d, "<i8") for _, _, d in got])
-    order = np.lexsort((np.arange(len(every)), docs, every))
-    h = every[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    often = np.bincount(group) > 1 if len(h) else np.zeros(0, bool)
-    often[group[flags[order]]] = True
-    twice, first = np.empty(len(h), bool), np.zeros(len(h), bool)
-    twice[order] = often[group]
-    first[order] = new
+    anchor, offset, places, least = (np.concatenate([np.frombuffer(g[k], kind) for g in got]) for k, kind in enumerate(("<u8", "<i4", "<i4", "<i8")))
+    bodies = [zstandard.ZstdDecompressor().decompress(g[4]).split(b"\n") for g in got]
+    # Equal contexts of several blocks are one, with all their places.
+    index: dict[bytes, int] = {}
+    which = np.fromiter((index.setdefault(t, len(index)) for t in chain.from_iterable(bodies)), np.int64, len(anchor))
+    del bodies
+    by_rank = np.lexsort((np.arange(len(which)), least))
+    lead = np.full(len(index), len(which))
+    np.minimum.at(lead, which[by_rank], np.arange(len(which)))
+    lead = by_rank[lead]  # of each context, its first message entry
+    total = np.bincount(which, places).astype(np.int64)
+    # Ranks of contexts: the place of their first entry among all.
+    rank = np.empty(len(which), np.int64)
+    rank[by_rank] = np.arange(len(which))
+    twice, first = extend(anchor[lead], offset[lead].astype(np.int64), total, rank[lead], list(index))
+    own = (first[which] == which[:, None]) & (lead[which] == np.arange(len(which)))[:, None] & twice[which]
     out, at = [], 0
-    for v in values:
-        part = slice(at, at + len(v))
-        out.append(frames(np.packbits(twice[part]).tobytes(), np.packbits(first[part]).tobytes()))
-        at += len(v)
+    for g in got:
+        part = slice(at, at + len(g[0]) // 8)
+        out.append(frames(*(np.packbits(x, axis=1).tobytes() for x in (twice[which[part]], own[part]))))
+        at = part.stop
     return out
 
 
@@ -163,39 +242,49 @@ def repeated_words(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow:
 
     seeds = scratch.keep(answer(send(blocks, _send_seeds(buckets)), _shared, buckets), "seeds")
 
-    def extend(block: Block, replies: dict[int, bytes]) -> pa.Table:
+    def occurrences(block: Block, replies: dict[int, bytes]) -> pa.Table:
         s = Sequence(block)
-        chosen = _candidates(s, replies, buckets)
-        values, often, doc = _windows(s, chosen, block.ids)
-        out = [(b, frames(pack_u64(values[x:y]), np.packbits(often[x:y]).tobytes(), *([doc[x:y].astype("<i8").tobytes()] if first else []))) for b, x, y in split_by_bucket(values, buckets)]
-        # The chosen windows travel with the block's own answer, bucket -1.
-        out.append((-1, np.packbits(chosen).tobytes()))
+        c = Contexts(s, replies, buckets, block.ids)
+        out = [(-1, frames(*(zstandard.ZstdCompressor(level=3).compress(x.astype("<i4").tobytes()) for x in (c.first, c.count, c.which)))), *c.messages(buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([block.block] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
-    asked = scratch.keep(receive(blocks, seeds, extend, ROUND2, message), "extended")
-    found = answer(asked.where("bucket >= 0"), _shared_first if first else _shared, buckets).union(asked.where("bucket < 0"))
+    asked = scratch.keep(receive(blocks, seeds, occurrences, MESSAGE, message), "occurrences")
+    own = scratch.keep(asked.where("bucket < 0"), "own")
+    found = scratch.keep(answer(asked.where("bucket >= 0"), _shard, buckets), "extended")
+    scratch.drop("seeds", "occurrences")
 
     def finish(block: Block, replies: dict[int, bytes]) -> pa.Table:
         s = Sequence(block)
-        chosen = np.unpackbits(np.frombuffer(replies.pop(-1, b""), np.uint8), count=len(s.starts)).astype(bool)
-        values, _, doc = _windows(s, chosen, block.ids)
-        twice = _flags(values, {b: unframe(x)[0] for b, x in replies.items()} if first else replies, buckets)
-        at = np.searchsorted(values, s.hash[chosen])
-        hit = twice[at] if len(values) else np.zeros(0, bool)
-        if first and len(values):
-            own = _flags(values, {b: unframe(x)[1] for b, x in replies.items()}, buckets)
-            # Of the windows with the smallest doc_id, the leftmost here stays.
-            at_home = own[at] & (block.ids[s.doc[s.starts[chosen]]] == doc[at])
-            _, leftmost = np.unique(np.where(at_home, at, len(values) + np.arange(len(at))), return_index=True)
-            stays = np.zeros(len(at), bool)
-            stays[leftmost] = True
-            hit &= ~(stays & at_home)
-        doomed = chosen.copy()
-        doomed[chosen] = hit
+        start, count, which = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i4").astype(np.int64) for x in unframe(replies.pop(-1)))
+        width = -(-(WINDOW - ANCHOR + 1) // 8)
+        bits = [np.concatenate([np.zeros((0, width), np.uint8), *(np.frombuffer(unframe(replies[b])[k], np.uint8).reshape(-1, width) for b in sorted(replies))]) for k in (0, 1)]
+        run = np.repeat(np.arange(len(start)), count)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        at = start[run] + inner  # places in s.starts
+
+        def flag(x: np.ndarray) -> np.ndarray:
+            return x[which[run], inner >> 3] >> (7 - (inner & 7)).astype(np.uint8) & 1 > 0
+
+        hit = flag(bits[0])
+        if first:
+            # Of the places of a repeat that this block has the first of, the one in its smallest document, leftmost.
+            mine = np.flatnonzero(flag(bits[1]))
+            words = list(chain.from_iterable(s.words))
+            begin = s.starts[at[mine]]
+            order = np.lexsort((begin, block.ids[s.doc[begin]]))
+            seen: set[bytes] = set()
+            for k in order.tolist():
+                a = begin[k]
+                text = b" ".join(words[a : a + WINDOW])
+                if text not in seen:
+                    seen.add(text)
+                    hit[mine[k]] = False
+        doomed = np.zeros(len(s.starts), bool)
+        doomed[at[hit]] = True
         return emit(block, s, covered(s, doomed))
 
-    return receive(blocks, found, finish, schema, arrow)
+    return receive(blocks, found.union(own), finish, schema, arrow)
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"

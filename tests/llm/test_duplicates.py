@@ -279,6 +279,36 @@ def test_passages(spark):
     assert substrings.digest(empty(spark), Scratch(spark)).count() == 0
 
 
+def test_extension_compares_words():
+    """All contexts of one anchor number, some with other words: every window against every other."""
+    rng = random.Random(2)
+    for _ in range(30):
+        base = [rng.choice(["a", "b"]) for _ in range(20)]
+        texts_, offsets = [], []
+        for _ in range(rng.randint(1, 25)):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(20)] = rng.choice(["a", "b", "c"])
+            cut, end = rng.randint(0, 4), rng.randint(15, 20)
+            texts_.append(" ".join(w[cut:end]).encode())
+            offsets.append(8 - cut)  # the anchor is words 8 to 10, windows have 7
+        places, least = [rng.randint(1, 2) if rng.random() < 0.2 else 1 for _ in texts_], [rng.randint(0, 5) for _ in texts_]
+        twice, first = substrings.extend(np.full(len(texts_), 7, np.uint64), np.array(offsets), np.array(places), np.array(least), texts_, 3, 7)
+        seen = {}
+        for k, t in enumerate(texts_):
+            w = t.split()
+            for left in range(5):
+                j = offsets[k] - left
+                if j >= 0 and j + 7 <= len(w):
+                    seen.setdefault((left, tuple(w[j : j + 7])), []).append((least[k], k, j))
+        want = np.zeros_like(twice)
+        for at in seen.values():
+            for _, k, j in at:
+                want[k, j] = sum(places[q] for _, q, _ in at) > 1
+                assert first[k, j] == min(at)[1]
+        assert (twice == want).all()
+
+
 def test_first_passage_stays(spark):
     rows = [r for r in texts() if r[0] not in (5, None)]
     cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
