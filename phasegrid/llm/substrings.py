@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from phasegrid.llm.common import MESSAGE, Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
 ANCHOR, WINDOW = 10, 35
-#: Text bytes for each bucket: about 4 MB of hashes and their answers.
-BUCKET_BYTES = 32_000_000
+#: Text bytes for each bucket; a bucket takes about 1 kB for each context of 47 words.
+BUCKET_BYTES = 8_000_000
 
 
 class Sequence:
@@ -162,29 +162,27 @@ def extend(anchor: np.ndarray, offset: np.ndarray, places: np.ndarray, least: np
     `least` ranks the contexts; of equal ranks the earlier.  Windows that a context doesn't have are False.
     """
     n, reach = len(texts), window - length
-    words = [t.split(b" ") for t in texts]
-    size = np.array([len(w) for w in words], np.int64)
+    size = np.array([t.count(b" ") + 1 for t in texts], np.int64)
     begin = np.cumsum(size) - size
     number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int64, int(size.sum()))
-    del words
+    flat = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t.split(b" ")), np.int64, int(size.sum()))
     at = begin + offset
     core = _classes(np.zeros(n, np.int64), anchor.view(np.int64))
     for k in range(length):
         core = _classes(core, flat[at + k])
 
     def side(step: int, room: np.ndarray, origin: np.ndarray) -> list[np.ndarray]:
-        out = [core]
+        out = [core.astype(np.int32)]
         for k in range(1, reach + 1):
             own = np.flatnonzero(room >= k)
-            here = np.full(n, -1)
+            here = np.full(n, -1, np.int32)
             here[own] = _classes(out[-1][own], flat[origin[own] + step * k])
             out.append(here)
         return out
 
     left = side(-1, offset, at)
     right = side(1, size - offset - length, at + length - 1)
-    twice, first = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), np.int64)
+    twice, first = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), np.int32)
     by_rank = np.lexsort((np.arange(n), least))
     for k in range(reach + 1):  # k words to the left of the anchor: window number offset - k
         own = by_rank[(left[k][by_rank] >= 0) & (right[reach - k][by_rank] >= 0)]

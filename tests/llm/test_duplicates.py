@@ -289,7 +289,7 @@ def test_extension_compares_words():
             w = list(base)
             for _ in range(rng.randint(0, 2)):
                 w[rng.randrange(20)] = rng.choice(["a", "b", "c"])
-            cut, end = rng.randint(0, 4), rng.randint(15, 20)
+            cut, end = rng.randint(4, 8), rng.randint(11, 15)
             texts_.append(" ".join(w[cut:end]).encode())
             offsets.append(8 - cut)  # the anchor is words 8 to 10, windows have 7
         places, least = [rng.randint(1, 2) if rng.random() < 0.2 else 1 for _ in texts_], [rng.randint(0, 5) for _ in texts_]
