@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +197,10 @@ class Block:
 
 
 MESSAGE = "bucket long, block long, blob binary"
+MESSAGE_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
+
+#: Messages that a block sends, about, and blocks that one relay serves.
+FAN = 256
 
 
 def row_schemas(docs: DataFrame):
@@ -204,43 +210,110 @@ def row_schemas(docs: DataFrame):
     return docs.schema, to_arrow_schema(docs.schema)
 
 
-def message_batch(bucket: list[int], block: list[int], blob: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "block", "blob"])
-
-
-def send(blocks: DataFrame, work: Callable[[Block], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """One message for each (block, bucket) from `work`."""
-
-    def run(batches):
-        for t in batches:
-            for block in Block.of(t):
-                out = list(work(block))
-                if out:
-                    yield message_batch([b for b, _ in out], [block.block] * len(out), [x for _, x in out])
-                del out
-        trim()
-
-    return blocks.mapInArrow(run, MESSAGE)
-
-
-def answer(messages: DataFrame, work: Callable[[list[bytes]], list[bytes]], buckets: int) -> DataFrame:
-    """For each bucket, an answer to each of its messages, in their order."""
+def messages(bucket: list[int], block: list[int], blob: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], schema=MESSAGE_ARROW)
 
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("block").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        blobs = work(t.column("blob").to_pylist())
-        trim()
-        return pa.table({"bucket": t.column("bucket"), "block": t.column("block"), "blob": pa.array(blobs, pa.binary())})
 
-    return messages.repartition(max(1, buckets), "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
+class Post:
+    """Messages between blocks and hash buckets, their number in proportion to the input.
 
+    Up to FAN buckets a block writes to each bucket itself.  With more, buckets
+    lie in columns of about the square root of their number: a block writes one
+    bundle to each column, a relay (a column and some FAN blocks) sorts the
+    bundles by bucket, and answers come back the same way.  So neither blocks
+    nor buckets write to all of the others.  Bucket -1 is the block itself.
+    """
 
-def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table | None], schema, empty: pa.Schema) -> DataFrame:
-    """`work` gets each block with the answers to what it sent."""
+    def __init__(self, blocks: DataFrame, raw: int, bucket_bytes: int):
+        self.blocks, self.buckets = blocks, max(8, -(-raw // bucket_bytes))
+        self.relayed = self.buckets > FAN
+        self.width = max(1, math.isqrt(self.buckets))
+        self.groups = -(-blocks.count() // FAN) if self.relayed else 1
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": None}  # tasks need the numbers only
+
+    def table(self, block: int, items: Iterable[tuple[int, bytes]]) -> pa.Table:
+        """A block's (bucket, blob) items, buckets ascending, as messages."""
+        out = list(items)
+        if self.relayed:
+            own = [x for x in out if x[0] < 0]
+            columns = groupby((x for x in out if x[0] >= 0), lambda x: x[0] // self.width)
+            out = own + [(c, _bundle((b, 0, blob) for b, blob in part)) for c, part in columns]
+        return messages([b for b, _ in out], [block] * len(out), [x for _, x in out])
+
+    def send(self, work: Callable[[Block], Iterable[tuple[int, bytes]]]) -> DataFrame:
+        """The messages of (bucket, blob) that `work` makes of each block."""
+
+        def run(batches):
+            for t in batches:
+                for block in Block.of(t):
+                    yield from self.table(block.block, work(block)).to_batches()
+            trim()
+
+        return self.blocks.mapInArrow(run, MESSAGE)
+
+    def answer(self, sent: DataFrame, work: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+        """For each bucket, an answer to each of its messages; `work` gets them in the order of the blocks."""
+
+        def solve(t: pa.Table) -> pa.Table:
+            t = t.take(pa.array(np.argsort(t.column("block").to_numpy(), kind="stable")))
+            if not self.relayed:
+                blobs = work(t.column("blob").to_pylist())
+                trim()
+                return messages(t.column("bucket"), t.column("block"), blobs)
+            relay, blobs = t.column("block").to_pylist(), t.column("blob").to_pylist()
+            items = sorted((block, k, x) for k, b in enumerate(blobs) for _, block, x in _open_bundle(b))
+            bucket = t.column("bucket")[0].as_py()
+            out: dict[int, list[tuple[int, int, bytes]]] = {}
+            for (block, k, _), x in zip(items, work([x for *_, x in items]), strict=True):
+                out.setdefault(k, []).append((bucket, block, x))
+            trim()
+            return messages([bucket] * len(out), [relay[k] for k in out], [_bundle(x) for x in out.values()])
+
+        if not self.relayed:
+            return sent.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(solve, MESSAGE)
+
+        def sort(relay: bool):
+            """A relay's bundles, sorted by bucket on the way there and by block on the way back."""
+
+            def run(t: pa.Table) -> pa.Table:
+                column, place = t.column("column")[0].as_py(), t.column("relay")[0].as_py()
+                out: dict[int, list[tuple[int, int, bytes]]] = {}
+                for block, blob in zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True):
+                    for b, from_, x in _open_bundle(blob):
+                        out.setdefault(b if relay else from_, []).append((b, block if relay else from_, x))
+                keys = list(out)
+                blobs = [_bundle(out.pop(k)) for k in keys]
+                return messages(keys, [place] * len(keys), blobs) if relay else messages([column] * len(keys), keys, blobs)
+
+            return run
+
+        relays = ["column", "relay"]
+        there = sent.select(F.col("bucket").alias("column"), F.pmod(F.xxhash64("block"), F.lit(self.groups)).alias("relay"), "block", "blob")
+        there = there.groupBy(*relays).applyInArrow(sort(True), MESSAGE)
+        solved = there.groupBy("bucket").applyInArrow(solve, MESSAGE)
+        back = solved.select(F.floor(F.col("bucket") / self.width).alias("column"), F.col("block").alias("relay"), "block", "blob")
+        return back.groupBy(*relays).applyInArrow(sort(False), MESSAGE)
+
+    def receive(self, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table | None], schema, empty: pa.Schema) -> DataFrame:
+        """`work` gets each block with the answers to what it sent; of several rounds (a column `round`), a dict of each."""
+        return receive(self.blocks, answers, work, schema, empty, self.relayed)
+
+
+def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table | None], schema, empty: pa.Schema, relayed: bool = False) -> DataFrame:
+    """`work` gets each block with the blobs for it by bucket; relayed ones come in bundles."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        replies = dict(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        rounds = right.column("round").to_pylist() if "round" in right.column_names else [0] * right.num_rows
+        every: dict[int, dict[int, bytes]] = {}
+        for k, bucket, blob in zip(rounds, right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True):
+            replies = every.setdefault(k, {})
+            if relayed and bucket >= 0:
+                replies.update((b, x) for b, _, x in _open_bundle(blob))
+            else:
+                replies[bucket] = blob
+        replies = every if "round" in right.column_names else every.get(0, {})
         out = [x for b in Block.of(left) if (x := work(b, replies)) is not None]
         trim()
         return pa.concat_tables(out).cast(empty) if out else empty.empty_table()
@@ -248,6 +321,18 @@ def receive(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, dict[i
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def _bundle(items: Iterable[tuple[int, int, bytes]]) -> bytes:
+    """(bucket, block, blob) items as one blob."""
+    own = list(items)
+    return frames(np.array([x[:2] for x in own], "<i8").tobytes(), *(x[2] for x in own))
+
+
+def _open_bundle(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    head, *blobs = unframe(blob)
+    for (bucket, block), x in zip(np.frombuffer(head, "<i8").reshape(-1, 2).tolist(), blobs, strict=True):
+        yield bucket, block, x
+
+
 # ---------------------------------------------------------------- hash blobs
 
 
@@ -329,15 +414,12 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def split_by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """h sorted; buckets are ranges of the top bits: (bucket, from, to) of those that have any."""
-    edges = bucket_edges(buckets)
-    cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-    for b in np.flatnonzero(np.diff(cut)):
-        yield int(b), int(cut[b]), int(cut[b + 1])
-
-
-def bucket_edges(buckets: int) -> np.ndarray:
-    return np.array([i * 2**64 // buckets for i in range(1, buckets)], np.uint64)
+    """h sorted; buckets are equal ranges of hashes: (bucket, from, to) of those that have any."""
+    if not len(h):
+        return
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(h))
+    yield from zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)
 
 
 # ---------------------------------------------------------------- components

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import Block, Scratch, answer, components, frames, mix, pack_u64, partitions, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import MESSAGE, MESSAGE_ARROW, Block, Post, Scratch, components, frames, messages, mix, pack_u64, partitions, row_schemas, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
 SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 1, 0.8, 16, 5, 2000
 BINS = BANDS * ROWS
@@ -260,15 +260,17 @@ def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)]) for x in (a_out, b_out)], ["a", "b"])
 
 
-def line_components(blocks: DataFrame, buckets: int, scratch: Scratch, kind: type[Lines] = Lines) -> tuple[DataFrame, DataFrame]:
+def line_components(post: Post, scratch: Scratch, kind: type[Lines] = Lines) -> tuple[DataFrame, DataFrame]:
     """Candidates (block, line, ...) and (node, root) of lines, or another kind, that are similar to others."""
 
+    buckets = post.buckets
+
     def keys(block: Block):
         _, _, values, tag, several = _keys(kind(block))
         for b, x, y in split_by_bucket(values, buckets):
             yield b, frames(pack_u64(values[x:y]), tag[x:y].tobytes(), np.packbits(several[x:y]).tobytes())
 
-    met = scratch.keep(answer(send(blocks, keys), _met, buckets), "met")
+    met = scratch.keep(post.answer(post.send(keys), _met), "met")
 
     def candidates(block: Block, replies: dict[int, bytes]) -> pa.Table:
         x = kind(block)
@@ -282,14 +284,14 @@ def line_components(blocks: DataFrame, buckets: int, scratch: Scratch, kind: typ
         lists = [own[index[k][hits[k]]].tolist() for k in rows.tolist()]
         return pa.table({"block": pa.array([block.block] * len(rows), pa.int64()), "line": _signed(x.hash[at[rows]]), "keys": pa.array(lists, pa.list_(pa.int64())), "text": pa.array([x.bare[k] for k in at[rows].tolist()], pa.binary())})
 
-    found = scratch.keep(receive(blocks, met, candidates, CANDIDATES, CANDIDATES_ARROW), "candidates")
+    found = scratch.keep(post.receive(met, candidates, CANDIDATES, CANDIDATES_ARROW), "candidates")
     lines = found.groupBy("line").agg(F.first("keys").alias("keys"), F.first("text").alias("text"))
     lines = scratch.keep(lines, "lines")
     rows = lines.select("line", F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     once = scratch.keep(groups.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "groups")
     # Each row goes to as many tasks as its group has tiles; a task has a bounded number of them.
-    tasks = max(partitions(blocks.sparkSession), -(-(once.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0) // ROWS_PER_TASK))
+    tasks = max(partitions(post.blocks.sparkSession), -(-(once.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0) // ROWS_PER_TASK))
     dealt = rows.join(once.select("key", "tiles"), "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
@@ -333,18 +335,18 @@ def _by_key(x: Lines, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, n
 def similar_lines(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """`emit(lines, gone)` for each block; `gone` marks the lines to remove."""
     blocks, raw = to_blocks(docs, scratch, doc_id, text, whole_rows=whole_rows)
-    buckets = max(8, -(-raw // BUCKET_BYTES))
-    found, root = line_components(blocks, buckets, scratch)
-    message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
+    post = Post(blocks, raw, BUCKET_BYTES)
+    buckets = post.buckets
+    found, root = line_components(post, scratch)
 
     def names(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy().view(np.uint64)
         order = np.argsort(node)
         blob = frames(node[order].tobytes(), t.column("root").to_numpy().view(np.uint64)[order].tobytes())
-        return pa.table({"bucket": pa.array([-1], pa.int64()), "block": t.column("block").slice(0, 1), "blob": pa.array([blob], pa.binary())})
+        return messages([-1], [t.column("block")[0].as_py()], [blob])
 
     # The lines of each block that belong to a component, with its root.
-    renamed = found.select("block", F.col("line").alias("node")).join(root, "node").groupBy("block").applyInArrow(names, "bucket long, block long, blob binary")
+    renamed = found.select("block", F.col("line").alias("node")).join(root, "node").groupBy("block").applyInArrow(names, MESSAGE)
     renamed = scratch.keep(renamed, "renamed")
 
     def table(replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -355,11 +357,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: p
         x = Lines(block)
         _, key, first = _by_key(x, *table(replies))
         doc, pos = block.ids[x.doc[first]], x.pos[first].astype("<i4")
-        out = [(b, frames(pack_u64(key[p:q]), doc[p:q].astype("<i8").tobytes(), pos[p:q].tobytes())) for b, p, q in split_by_bucket(key, buckets)]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([block.block] * len(out), pa.int64()), "blob": pa.array([v for _, v in out], pa.binary())})
+        return post.table(block.block, ((b, frames(pack_u64(key[p:q]), doc[p:q].astype("<i8").tobytes(), pos[p:q].tobytes())) for b, p, q in split_by_bucket(key, buckets)))
 
-    asked = receive(blocks, renamed, places, "bucket long, block long, blob binary", message)
-    firsts = answer(asked, _first, buckets).union(renamed)
+    asked = post.receive(renamed, places, MESSAGE, MESSAGE_ARROW)
+    firsts = post.answer(asked, _first).union(renamed)
 
     def finish(block: Block, replies: dict[int, bytes]) -> pa.Table:
         x = Lines(block)
@@ -372,7 +373,7 @@ def similar_lines(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: p
         gone[first[stays]] = False
         return emit(x, gone)
 
-    return receive(blocks, firsts, finish, schema, arrow)
+    return post.receive(firsts, finish, schema, arrow)
 
 
 def _kept(x: Lines, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:

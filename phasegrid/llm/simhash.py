@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import MESSAGE, Block, Scratch, components, receive, row_schemas, to_blocks
+from phasegrid.llm.common import MESSAGE, Block, Scratch, components, messages, receive, row_schemas, to_blocks
 
 SEED = 42
 #: Bits that may differ, segments, and fingerprints that one value of a segment may have in its table.
@@ -151,7 +151,7 @@ def first_rows(docs: DataFrame, blocks: DataFrame, found: DataFrame, owned: Data
     stay = first.select("k.block", "k.place").union(found.where("doc_id is null").select("block", "place"))
 
     def note(t: pa.Table) -> pa.Table:
-        return pa.table({"bucket": pa.array([0], pa.int64()), "block": t.column("block").slice(0, 1), "blob": pa.array([np.sort(t.column("place").to_numpy()).astype("<i8").tobytes()], pa.binary())})
+        return messages([0], [t.column("block")[0].as_py()], [np.sort(t.column("place").to_numpy()).astype("<i8").tobytes()])
 
     def emit(b: Block, replies: dict[int, bytes]) -> pa.Table:
         kept = set(np.frombuffer(replies.get(0, b""), "<i8").tolist())

@@ -34,7 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from phasegrid.llm.common import MESSAGE, Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, row_schemas, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import MESSAGE, MESSAGE_ARROW, Block, Post, Scratch, frames, minimizers, mix, pack_u64, row_schemas, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 
 ANCHOR, WINDOW = 10, 35
 #: Text bytes for each bucket; a bucket takes about 1 kB for each context of 47 words.
@@ -57,7 +57,8 @@ class Sequence:
         self.starts = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :][:n]) if n else np.zeros(0, np.int64)
         seeds = mix(window_hash(flat, anchor, 0xD1B54A32D192ED03)) if n else np.zeros(0, np.uint64)
         self.place = minimizers(seeds, window - anchor + 1)[self.starts] if n else np.zeros(0, np.int64)
-        self.anchor = seeds[self.place]
+        #: Mixed again: the smallest hashes of their windows would all go to the first buckets.
+        self.anchor = mix(~seeds[self.place])
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(first, count): consecutive windows of a document with their anchor at one place, as ranges of `starts`."""
@@ -235,21 +236,21 @@ def covered(s: Sequence, doomed: np.ndarray) -> np.ndarray:
 def repeated_words(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, keep: str = "none", doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """`emit(block, sequence, gone)` for each block; `gone` marks the words to remove."""
     blocks, raw = to_blocks(docs, scratch, doc_id, text, whole_rows=whole_rows)
-    buckets = max(8, -(-raw // BUCKET_BYTES))
+    post = Post(blocks, raw, BUCKET_BYTES)
+    buckets = post.buckets
     first = keep == "first"
 
-    seeds = scratch.keep(answer(send(blocks, _send_seeds(buckets)), _shared, buckets), "seeds")
+    seeds = scratch.keep(post.answer(post.send(_send_seeds(buckets)), _shared), "seeds")
 
     def occurrences(block: Block, replies: dict[int, bytes]) -> pa.Table:
         s = Sequence(block)
         c = Contexts(s, replies, buckets, block.ids)
-        out = [(-1, frames(*(zstandard.ZstdCompressor(level=3).compress(x.astype("<i4").tobytes()) for x in (c.first, c.count, c.which)))), *c.messages(buckets)]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([block.block] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
+        runs = (zstandard.ZstdCompressor(level=3).compress(x.astype("<i4").tobytes()) for x in (c.first, c.count, c.which))
+        return post.table(block.block, [(-1, frames(*runs)), *c.messages(buckets)])
 
-    message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
-    asked = scratch.keep(receive(blocks, seeds, occurrences, MESSAGE, message), "occurrences")
+    asked = scratch.keep(post.receive(seeds, occurrences, MESSAGE, MESSAGE_ARROW), "occurrences")
     own = scratch.keep(asked.where("bucket < 0"), "own")
-    found = scratch.keep(answer(asked.where("bucket >= 0"), _shard, buckets), "extended")
+    found = scratch.keep(post.answer(asked.where("bucket >= 0"), _shard), "extended")
     scratch.drop("seeds", "occurrences")
 
     def finish(block: Block, replies: dict[int, bytes]) -> pa.Table:
@@ -282,7 +283,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow:
         doomed[at[hit]] = True
         return emit(block, s, covered(s, doomed))
 
-    return receive(blocks, found.union(own), finish, schema, arrow)
+    return post.receive(found.union(own), finish, schema, arrow)
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"

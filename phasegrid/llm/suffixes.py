@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from phasegrid.llm.common import CHUNK, Block, Scratch, answer, frames, minimizers, mix, pack_u64, receive, send, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
+from phasegrid.llm.common import CHUNK, MESSAGE, MESSAGE_ARROW, Block, Post, Scratch, frames, minimizers, mix, pack_u64, split_by_bucket, to_blocks, unframe, unpack_u64, window_hash
 from phasegrid.llm.substrings import _shared
 
 ANCHOR, WINDOW = 20, 50
@@ -67,7 +67,8 @@ class Runs:
             use = ok[first]
             starts.append(first[use] + at)
             lens.append(length[use])
-            hashes.append(h[place[first[use]]])
+            # Mixed again: the smallest hashes of their windows would all go to the first shards.
+            hashes.append(mix(~h[place[first[use]]]))
         #: A chunk's edge may cut a run in two: each part is a run of its own.
         self.start = np.concatenate([np.zeros(0, np.int64), *starts])
         self.count = np.concatenate([np.zeros(0, np.int64), *lens])
@@ -104,9 +105,11 @@ def _open(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def _contexts(shards: int):
+def _contexts(post: Post):
     """Second round: the different texts round shared anchors, to their shards."""
 
+    shards = post.buckets
+
     def work(block: Block, replies: dict[int, bytes]) -> pa.Table:
         r = Runs(block)
         values, _ = _seeds(r, block.ids)
@@ -129,7 +132,7 @@ def _contexts(shards: int):
         for b, x, y in split_by_bucket(anchors, shards):
             lens = np.array([len(t) for t in texts[x:y]], "<i4").tobytes()
             out.append((b, frames(anchors[x:y].astype("<u8").tobytes(), lens, least[x:y].astype("<i8").tobytes(), _squeeze(b"".join(texts[x:y])))))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.array([block.block] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
+        return post.table(block.block, out)
 
     return work
 
@@ -376,15 +379,13 @@ def _spans(block: Block, gone: np.ndarray) -> pa.Table:
 def repeated_bytes(docs: DataFrame, scratch: Scratch, emit, schema: str, arrow: pa.Schema, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`emit(block, gone)` for each block; `gone` marks the bytes to remove."""
     blocks, raw = to_blocks(docs, scratch, doc_id, text, BLOCK)
-    shards = max(8, -(-raw // SHARD_TEXT))
-    message = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
-    seeds = scratch.keep(answer(send(blocks, _send_seeds(shards)), _shared, shards), "seeds")
-    asked = scratch.keep(receive(blocks, seeds, _contexts(shards), "bucket long, block long, blob binary", message), "contexts")
+    post = Post(blocks, raw, SHARD_TEXT)
+    seeds = scratch.keep(post.answer(post.send(_send_seeds(post.buckets)), _shared), "seeds")
+    asked = scratch.keep(post.receive(seeds, _contexts(post), MESSAGE, MESSAGE_ARROW), "contexts")
     own = scratch.keep(asked.where("bucket < 0"), "own")
-    solved = scratch.keep(answer(asked.where("bucket >= 0"), _shard, shards), "solved")
+    solved = scratch.keep(post.answer(asked.where("bucket >= 0"), _shard), "solved")
     scratch.drop("seeds", "contexts")
-    solved = solved.union(own)
-    return receive(blocks, solved, lambda block, replies: emit(block, _doomed(block, replies)), schema, arrow)
+    return post.receive(solved.union(own), lambda block, replies: emit(block, _doomed(block, replies)), schema, arrow)
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -318,6 +318,20 @@ def test_first_passage_stays(spark):
     assert kept.columns == frame(spark).columns and all(r["n_chars"] == len(r["text"] or "") for r in kept.collect())
 
 
+def test_relays_change_nothing(spark, monkeypatch):
+    """Buckets in columns: the same rows as with a message to each bucket."""
+    from phasegrid.llm import common
+
+    monkeypatch.setattr(common, "FAN", 3)
+    for name, part in ((substrings, "BUCKET_BYTES"), (suffixes, "SHARD_TEXT"), (lines, "BUCKET_BYTES")):
+        monkeypatch.setattr(name, part, 2_000)
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert rows_of(substrings.digest(frame(spark), Scratch(spark)), *cols) == removed_words(texts())
+    assert rows_of(suffixes.digest(frame(spark), Scratch(spark)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(texts())
+    cols = ("doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert rows_of(lines.digest(frame(spark, similar_rows()), Scratch(spark)), *cols) == kept_lines(similar_rows())
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -174,7 +174,7 @@ def scores(rows, order, alpha):
     return ordered(out)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff(spark, order):
     got = backoff.score(frame(spark), Scratch(spark), order)
     assert rows_of(got, "doc_id", "n_words", "n_backed_off", "logprob_micro") == scores(texts(), order, 0.4)
