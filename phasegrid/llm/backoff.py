@@ -73,12 +73,22 @@ class Grams:
         return self.place >= n - 1
 
 
+def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order, how often each occurs, and the place among them of every one."""
+    order = np.argsort(h)
+    x = h[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return x[first], np.diff(np.append(first, len(x))), at
+
+
 def _total(blobs: list[bytes]) -> list[bytes]:
     got = [unframe(b) for b in blobs]
     values = [unpack_u64(v) for v, _ in got]
-    table, index = np.unique(np.concatenate(values), return_inverse=True)
-    counts = np.zeros(len(table), np.int64)
-    np.add.at(counts, index, np.concatenate([_large(c) for _, c in got]))
+    _, _, index = ranked(np.concatenate(values))
+    counts = np.bincount(index, np.concatenate([_large(c) for _, c in got])).astype(np.int64)  # exact below 2**53
     out, at = [], 0
     for v in values:
         out.append(_small(counts[index[at : at + len(v)]]))
@@ -105,22 +115,30 @@ class Counts:
             out[n] = np.flatnonzero(may)
         return out
 
-    def messages(self, lengths: list[int]):
+    def ranked(self, lengths: list[int]):
         places = self.asked(lengths)
-        values, n = np.unique(np.concatenate([self.grams.hash[k][at] for k, at in places.items()]), return_counts=True)
+        return places, *ranked(np.concatenate([self.grams.hash[k][at] for k, at in places.items()]))
+
+    def messages(self, lengths: list[int]):
+        _, values, n, _ = self.ranked(lengths)
         for b, x, y in split_by_bucket(values, self.buckets):
             yield b, frames(pack_u64(values[x:y]), _small(n[x:y]))
 
     def join(self, lengths: list[int], replies: dict[int, bytes]) -> None:
         """Totals of the corpus, less each document's own."""
-        places = self.asked(lengths)
-        values = np.unique(np.concatenate([self.grams.hash[k][at] for k, at in places.items()]))
+        places, _, n, at = self.ranked(lengths)
         total = np.concatenate([np.zeros(0, np.int64), *(_large(replies[b]) for b in sorted(replies))])
-        for n, has in places.items():
-            at = np.searchsorted(values, self.grams.hash[n][has])
-            _, inverse, own = np.unique(self.grams.doc[has] * max(len(values), 1) + at, return_inverse=True, return_counts=True)
-            self.other[n] = np.zeros(len(self.grams.place), np.int64)
-            self.other[n][has] = total[at] - own[inverse]
+        doc = np.concatenate([self.grams.doc[x] for x in places.values()])
+        own = np.ones(len(at), np.int64)
+        several = np.flatnonzero(n[at] > 1)  # only these can be more than one in a document
+        _, count, which = ranked(at[several] * (len(self.grams.counts) + 1) + doc[several])
+        own[several] = count[which]
+        rest = total[at] - own
+        begin = 0
+        for k, has in places.items():
+            self.other[k] = np.zeros(len(self.grams.place), np.int64)
+            self.other[k][has] = rest[begin : begin + len(has)]
+            begin += len(has)
 
 
 def score(docs: DataFrame, scratch: Scratch, order: int = ORDER, alpha: float = ALPHA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,9 +160,7 @@ def score(docs: DataFrame, scratch: Scratch, order: int = ORDER, alpha: float =
     answers = scratch.keep(post.answer(first, _total).withColumn("round", F.lit(0)), "round0")
     for k in range(1, len(rounds)):
         ask = post.receive(answers, lambda block, replies, k=k: post.table(block.block, counted(block, replies, k).messages(rounds[k])), MESSAGE, MESSAGE_ARROW)
-        asked = scratch.keep(ask, f"asked{k}")
-        answers = answers.union(scratch.keep(post.answer(asked, _total).withColumn("round", F.lit(k)), f"round{k}"))
-        scratch.drop(f"asked{k}")
+        answers = answers.union(scratch.keep(post.answer(ask, _total).withColumn("round", F.lit(k)), f"round{k}"))
 
     def finish(block: Block, replies: dict[int, dict[int, bytes]]) -> pa.Table:
         c = counted(block, replies, len(rounds))

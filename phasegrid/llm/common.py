@@ -15,6 +15,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
@@ -74,7 +75,9 @@ class Scratch:
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished plans: it does so when the driver collects its garbage."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first pass finds unreachable may hold the shuffles till the second
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -1,6 +1,7 @@
 """Operators 3, 4, 6, 7, 10: against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -253,6 +254,31 @@ def test_embedding_tiles_count_each_link_once(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(119, 0)}
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs at cosine 0.9 to 0.92 among many vectors, in a table with clashing column names; links, never too many."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2500, 48))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.9005, 0.92, 2500)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    rows = [(i, v.tolist(), "k", 1, b"v", 2.0, True) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, rep int, v binary, copies double, pair boolean")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, Scratch(spark)).collect()}
+    cos = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    link = (cos >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert all(got[i]["n_links"] <= link[i].sum() for i in range(len(x)))
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * link.sum() >= 0.98 * 5000
+
+
+def test_hyperplanes_follow_the_number_of_vectors():
+    assert [embeddings.plan(n).bits for n in (1, 10_000, 10**6, 10**9, 10**10)] == [2, 7, 14, 24, 27]
+    p = embeddings.plan(10**6)
+    assert (1 - (1 - (1 - math.acos(0.9) / math.pi) ** p.bits) ** p.tables) >= 0.99 and 0.14 * p.bits * p.tables < p.apart < 0.25 * p.bits * p.tables
+
+
 # ---------------------------------------------------------------- 7
 
 
