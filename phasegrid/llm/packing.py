@@ -5,8 +5,10 @@ sequence each.  The rest is packed by best-fit decreasing inside partitions.
 Dual-feasible functions give each partition a lower bound: one whose bin count
 equals the bound is certified and left alone.  The others break their bins with
 the widest gaps, exchange the documents (a new deal over fewer partitions) and
-rerun best-fit decreasing; a round's result is taken only if it saves bins.  Rounds
-end when the total meets the bound of all pieces, or none saves a bin.
+rerun best-fit decreasing.  A round's result is taken only if it saves bins; bins
+that saved none keep their place, and the next widest have their turn.  Rounds
+end when the total meets the bound of all pieces, or every open bin of an
+uncertified partition has taken part in vain.
 
 Cases: null and empty texts are the end token alone; equal texts are separate
 pieces; ties in length are packed in order of doc_id; an empty table gives no
@@ -29,7 +31,6 @@ from phasegrid.llm.common import Scratch
 
 #: Pieces that one partition packs, about.
 GROUP = 50_000
-ROUNDS = 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -118,7 +119,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return where, offset, fill
 
 
-PLACED = f"{PIECES}, part long, bin long, offset long, fill long, certified boolean"
+PLACED = f"{PIECES}, part long, turn int, bin long, offset long, fill long, certified boolean"
 
 
 def _place(capacity: int):
@@ -127,7 +128,7 @@ def _place(capacity: int):
         lengths = t.column("length").to_numpy()
         where, offset, fill = best_fit(lengths, capacity)
         sure = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
-        cols = {c: t.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part")}
+        cols = {c: t.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "turn")}
         return pa.table(cols | {"bin": where, "offset": offset, "fill": fill[where], "certified": np.full(len(where), sure)})
 
     return run
@@ -148,39 +149,41 @@ def pack(found: DataFrame, scratch: Scratch, capacity: int = 1024) -> DataFrame:
     def deal(df: DataFrame, rows: int, turn: int) -> DataFrame:
         n = max(1, -(-rows // GROUP))
         part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(n)).cast("long")
-        return df.select(*own, part.alias("part")).repartition(n, "part").groupBy("part").applyInArrow(_place(capacity), PLACED)
+        return df.select(*own, part.alias("part"), F.lit(turn).alias("turn")).repartition(n, "part").groupBy("part").applyInArrow(_place(capacity), PLACED)
 
     def bins(df: DataFrame) -> int:
         return df.where(F.col("offset") == 0).count()
 
-    placed = scratch.keep(deal(found.where(F.col("length") < capacity), int(counts.sum()), 0), "packed")
-    used, done, turn = bins(placed), [], 0
-    while used > goal and turn < ROUNDS:
+    pool = scratch.keep(deal(found.where(F.col("length") < capacity), int(counts.sum()), 0), "packed")
+    used, done, turn = bins(pool), [], 0
+    while used > goal:
         turn += 1
         # The bins with the widest gaps move, about a quarter of the pieces, so
         # each new partition gathers what several could not close.
         open_ = (F.col("fill") < capacity) & ~F.col("certified")
-        fills = placed.where(open_).groupBy("fill").agg(F.count("*").alias("n")).orderBy("fill").collect()  # at most `capacity` rows
+        fills = pool.where(open_).groupBy("fill").agg(F.count("*").alias("n")).orderBy("fill").collect()  # at most `capacity` rows
         room, rows, most = max(GROUP, sum(r["n"] for r in fills) // 4), 0, 0
         for r in fills:
             if rows and rows + r["n"] > room:
                 break
             rows, most = rows + r["n"], r["fill"]
         gaps = open_ & (F.col("fill") <= most)
-        moving = placed.where(gaps)
-        if not rows or moving.select("part").distinct().limit(2).count() < 2:
-            break
+        moving = pool.where(gaps)
+        if not rows or moving.select("part", "turn").distinct().limit(2).count() < 2:
+            break  # what one partition has packed, another deal packs no better
         before = bins(moving)
         again = scratch.keep(deal(moving, rows, turn), f"packed{turn}")
         after = bins(again)
-        if after >= before:
-            break
-        done.append((turn - 1, placed.where(~gaps)))
-        placed, used = again, used - before + after
-    done.append((turn, placed))
+        done.append(pool.where(~open_))
+        if after < before:
+            pool, used = scratch.keep(pool.where(open_ & ~gaps).union(again), f"pool{turn}"), used - before + after
+        else:
+            done.append(moving)
+            pool = scratch.keep(pool.where(open_ & ~gaps), f"pool{turn}")
+        scratch.drop(f"packed{turn}")
     out = full
-    for k, df in done:
-        number = F.lit(k << 56) + F.shiftleft("part", 24) + F.col("bin")
+    for df in (*done, pool):
+        number = F.shiftleft(F.col("turn").cast("long"), 48) + F.shiftleft("part", 24) + F.col("bin")
         out = out.union(df.select(*own, number.alias("sequence_id"), "offset"))
     return out
 

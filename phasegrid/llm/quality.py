@@ -3,7 +3,10 @@
 Each text gives a vector of transformed statistics (log counts, logits of
 shares).  For each class a mean and a covariance are summed over all training
 rows in one pass; the covariance is shrunk towards the pooled one and that
-towards a multiple of the identity.  The score is the logistic of the difference
+towards a multiple of the identity.  How far is decided by cross-validation in
+the training rows: the sums are kept for each of four parts of them, and a
+second pass adds up the log loss that each pair of shrinkages has on the part
+that its sums left out; the least loss wins.  The score is the logistic of the difference
 of log densities, with Mahalanobis distances from cached Cholesky factors.
 
 Cases: null and empty texts have the statistics of no words and get a score
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasegrid.llm.common import Scratch
 
@@ -31,8 +35,8 @@ NAMES = [
     "log_words", "word_length", "letters", "capitals", "digits", "marks", "bars", "stops", "other_bytes",
     "distinct_words", "same_as_before", "top_word", "distinct_pairs", "distinct_lines", "line_length", "squeezed", "marked_words", "short_lines",
 ]
-#: Shrinkage towards the pooled covariance, and of that towards the identity.
-POOLED, ROUND = 0.90, 0.05
+#: Shrinkages towards the pooled covariance, and of that towards the identity, to choose from, and parts of the training rows.
+POOLED, ROUND, PARTS = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95), (0.01, 0.05, 0.2), 4
 
 _OTHERS = {k: bytes(b for b in range(256) if b not in v) for k, v in {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "mark": set(MARKS), "stop": set(STOPS), "high": range(128, 256), "bar": b"|",
@@ -102,7 +106,7 @@ def held_out(doc_id: str = "doc_id"):
 class Discriminant:
     """Two Gaussians: log priors, means and Cholesky factors of the inverses."""
 
-    def __init__(self, counts, sums, squares, pooled: float = POOLED, round_: float = ROUND):
+    def __init__(self, counts, sums, squares, pooled: float = 0.9, round_: float = 0.05):
         self.share = (counts[1] + 0.5) / (counts.sum() + 1)
         self.degenerate = min(counts) < 2
         if self.degenerate:
@@ -135,30 +139,68 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.prior, -60, 60)))
 
 
-def fit(rows: DataFrame, label: str = "y") -> Discriminant:
-    """From all rows of (x, label 0/1): sums of counts, values and products for each class."""
+def part_of(doc_id: str = "doc_id"):
+    """A training row's part; its rows are in all three remainders by three, so the division is by three first."""
+    return F.floor(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) / 3) % PARTS
+
+
+def sums(rows: DataFrame) -> np.ndarray:
+    """For each part and class of all rows (x, y 0/1, part): count, sums, and sums of products."""
     d = len(NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, q = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
+        total = np.zeros((PARTS, 2, 1 + d + d * d))
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column(0).flatten().to_numpy().reshape(-1, d)
-            y = b.column(1).to_numpy()
-            for c in (0, 1):
-                own = x[y == c]
-                n[c] += len(own)
-                s[c] += own.sum(0)
-                q[c] += own.T @ own
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([[n[c], *s[c], *q[c].ravel()] for c in (0, 1)], pa.list_(pa.float64()))], ["y", "sums"])
-
-    parts = rows.select("x", F.col(label).cast("int")).mapInArrow(run, "y int, sums array<double>")
-    at = F.posexplode("sums").alias("i", "v")
-    total = np.zeros((2, 1 + d + d * d))
-    for y, i, v in parts.select("y", at).groupBy("y", "i").agg(F.sum("v")).collect():  # 2 (1 + d + d*d) rows
-        total[y, i] = v
-    return Discriminant(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
+            y, part = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for p in range(PARTS):
+                for c in (0, 1):
+                    own = x[(y == c) & (part == p)]
+                    total[p, c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * PARTS), pa.int32()), pa.array(total.reshape(2 * PARTS, -1).tolist(), pa.list_(pa.float64()))], ["k", "sums"])
+
+    parts = rows.select("x", F.col("y").cast("int"), F.col("part").cast("int")).mapInArrow(run, "k int, sums array<double>")
+    total = np.zeros((2 * PARTS, 1 + d + d * d))
+    for k, i, v in parts.select("k", F.posexplode("sums").alias("i", "v")).groupBy("k", "i").agg(F.sum("v")).collect():  # 2 PARTS (1 + d + d*d) rows
+        total[k, i] = v
+    return total.reshape(PARTS, 2, -1)
+
+
+def model(total: np.ndarray, pooled: float, round_: float) -> Discriminant:
+    d = len(NAMES)
+    return Discriminant(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d), pooled, round_)
+
+
+def losses(rows: DataFrame, total: np.ndarray) -> dict[tuple[float, float], float]:
+    """The log loss of each pair of shrinkages, every row scored by the sums of the other parts."""
+    grid = [(p, r) for p in POOLED for r in ROUND]
+    models = [[model(total.sum(0) - total[k], p, r) for p, r in grid] for k in range(PARTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(grid))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy().reshape(-1, len(NAMES))
+            y, part = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for k in range(PARTS):
+                own = part == k
+                if own.any():
+                    out -= [np.log(np.maximum(np.where(y[own] == 1, s, 1 - s), 1e-9)).sum() for s in (m.score(x[own]) for m in models[k])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(out)], ["g", "loss"])
+
+    found = rows.select("x", F.col("y").cast("int"), F.col("part").cast("int")).mapInArrow(run, "g int, loss double")
+    return {grid[g]: loss for g, loss in found.groupBy("g").agg(F.sum("loss")).collect()}  # a row for each pair
+
+
+def fit(rows: DataFrame) -> Discriminant:
+    """From all rows of (x, y, part): the shrinkages of least loss, ties to the larger."""
+    total = sums(rows)
+    loss = losses(rows, total)
+    best = min(loss, key=lambda g: (round(loss[g], 6), -g[0], -g[1])) if loss else (POOLED[-1], ROUND[-1])
+    return model(total.sum(0), *best)
 
 
 def score(found: DataFrame, model: Discriminant) -> DataFrame:
@@ -175,7 +217,7 @@ def score(found: DataFrame, model: Discriminant) -> DataFrame:
 def train(found: DataFrame, labels: DataFrame) -> Discriminant:
     """From vectors and the labels outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    return fit(found.where(~held_out()).join(known, "doc_id").select("x", "y"))
+    return fit(found.where(~held_out()).join(known, "doc_id").select("x", "y", part_of().alias("part")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,14 +228,29 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str =
 
 
 def accept(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that score 0.5 or more, all columns unchanged."""
-    model = train(scratch.keep(vectors(docs, doc_id, text), "vectors"), labels)
+    """The documents that score 0.5 or more, all columns unchanged.
+
+    Statistics are counted once and written beside the rows, whose columns go
+    by number meanwhile, so no name can clash.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
     at = docs.columns.index(text)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [statistics((str(v) if (v := t.as_py()) is not None else "").encode()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    found = scratch.keep(rows.mapInArrow(count, schema), "counted")
+    best = train(found.select(F.col(names[docs.columns.index(doc_id)]).cast("long").alias("doc_id"), "x"), labels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(at)])
-                yield b.filter(pa.array(model.score(x) >= 0.5))
+                x = b.column(len(names)).flatten().to_numpy().reshape(-1, len(NAMES))
+                yield pa.RecordBatch.from_arrays(b.filter(pa.array(best.score(x) >= 0.5)).columns[: len(names)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = found.mapInArrow(run, rows.schema)
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

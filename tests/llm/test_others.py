@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 import struct
 import zlib
 
@@ -51,6 +52,39 @@ def test_quality_without_one_class(spark):
     assert len({r["score"] for r in got}) == 1
 
 
+def test_shrinkage_follows_the_data(spark):
+    """Classes of one mean and different covariances need the quadratic part; with equal ones pooling is better."""
+    rng = np.random.default_rng(1)
+    d, n = len(quality.NAMES), 3000
+    y = (rng.random(n) < 0.5).astype(int)
+    apart = rng.normal(size=(n, d)) * np.where(y[:, None] == 1, np.linspace(0.5, 3, d), np.linspace(3, 0.5, d))
+    alike = rng.normal(size=(n, d)) + 0.3 * y[:, None]
+    found = {}
+    for name, x in (("apart", apart), ("alike", alike)):
+        rows = spark.createDataFrame([(v.tolist(), int(c), k % quality.PARTS) for k, (v, c) in enumerate(zip(x, y, strict=True))], "x array<double>, y int, part int")
+        total = quality.sums(rows)
+        assert total[:, :, 0].sum() == n
+        loss = quality.losses(rows, total)
+        found[name] = min(loss, key=loss.get)[0]
+        right = ((quality.fit(rows).score(x) >= 0.5) == y).mean()
+        linear = ((quality.model(total.sum(0), 1.0, 0.05).score(x) >= 0.5) == y).mean()
+        assert right > 0.95 > 0.6 > linear if name == "apart" else abs(right - linear) < 0.02
+    assert found["apart"] <= 0.25 and found["alike"] >= 0.75
+
+
+def test_accepted_rows_are_those_predicted(spark):
+    """Every row with its own columns, whatever their names; repeats and nulls like any other."""
+    rows, labels = labelled(spark)
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (5, rows[5][1])]
+    docs = frame(spark, rows)
+    want = Counter(r["doc_id"] for r in quality.classify(docs, labels, Scratch(spark)).where("predicted = 1").collect())
+    kept = quality.accept(docs, labels, Scratch(spark))
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == want and 100 < sum(want.values()) < 300
+    texts_ = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert all((r["doc_id"], r["text"]) in texts_ and r["block"] == "clash" for r in kept.collect())
+    assert quality.accept(empty(spark), labels, Scratch(spark)).count() == 0
+
+
 def test_discriminant_is_the_textbook_one():
     rng = np.random.default_rng(0)
     d = len(quality.NAMES)
