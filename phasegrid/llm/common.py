@@ -61,7 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.tables = spark, f"{checkpoint_dir(spark)}/phasegrid-{uuid.uuid4().hex}", {}
-        self.written = 0
+        self.written, self.released = 0, time.monotonic()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage: write `df` and read it back."""
@@ -73,11 +73,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of finished plans: it does so when the driver collects its garbage."""
+        """Let Spark delete the shuffle files of finished plans: it does so when the driver collects its garbage.
+
+        Not more often than every two seconds, for a collection costs about as much as a small query.
+        """
+        if time.monotonic() - self.released < 2:
+            return
         gc.collect()
         for _ in range(2):  # what the first pass finds unreachable may hold the shuffles till the second
             self.spark._jvm.System.gc()
-            time.sleep(0.2)
+            time.sleep(0.1)
+        self.released = time.monotonic()
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -32,7 +32,7 @@ from phasegrid.llm.common import MESSAGE, MESSAGE_ARROW, Block, Post, Scratch, c
 
 SHINGLE, MIN_CHARS, SIMILARITY, BANDS, ROWS, TILE = 7, 1, 0.8, 16, 5, 2000
 BINS = BANDS * ROWS
-BUCKET_BYTES, ROWS_PER_TASK = 16_000_000, 20_000
+BUCKET_BYTES, ROWS_PER_TASK, TILE_BYTES = 16_000_000, 20_000, 1_000_000
 EMPTY = np.uint64(2**64 - 1)
 PROBES = np.random.default_rng(4).integers(0, BINS, (40, BINS))
 
@@ -159,18 +159,20 @@ CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("key
 
 
 class Sets:
-    """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`."""
+    """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`.
+
+    Built from one row for each line and different shingle, lines ascending.
+    """
 
     def __init__(self, line: np.ndarray, shingle: np.ndarray, lines: int):
         order = np.argsort(shingle)
         ranked = shingle[order]
-        number = np.empty(len(shingle), np.int64)
-        number[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(shingle)])
-        self.n = int(number.max(initial=0)) + 1
-        both = np.sort(line * self.n + number)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
-        self.number = both % self.n
-        self.size = np.bincount(both // self.n, minlength=lines)
+        new = np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(ranked)]
+        del ranked
+        self.number = np.empty(len(order), np.int32)
+        self.number[order] = np.cumsum(new, dtype=np.int32)
+        self.n = int(self.number.max(initial=0)) + 1
+        self.size = np.bincount(line, minlength=lines)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.mark = np.zeros(self.n, bool)
 
@@ -192,16 +194,28 @@ class Sets:
 
 def shingles(lines: list[bytes]) -> Sets:
     """Seven characters below 256 are the number of their bytes; others stand as 63 bits of a hash."""
-    text = [x.decode() for x in lines]
-    size = np.array([len(x) for x in text], np.int64)
-    codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    line = np.repeat(np.arange(len(text)), size)
-    exact = window_hash(codes, SHINGLE, 256)
-    wide = window_hash((codes > 255).astype(np.uint64), SHINGLE, 1) > 0
-    if wide.any():
-        exact[wide] = mix(window_hash(mix(codes + np.uint64(1)), SHINGLE, 0x9E3779B97F4A7C15))[wide] | np.uint64(1 << 63)
-    inside = line[: len(exact)] == line[len(line) - len(exact) :]
-    return Sets(line[: len(exact)][inside], exact[inside], len(text))
+    found, lines_, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    while at < len(lines):  # about 64 thousand characters at a time
+        to, room = at, 0
+        while to < len(lines) and (to == at or room + len(lines[to]) <= 1 << 16):
+            room += len(lines[to])
+            to += 1
+        text = [x.decode() for x in lines[at:to]]
+        codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        line = np.repeat(np.arange(at, to, dtype=np.int32), [len(x) for x in text])
+        exact = window_hash(codes, SHINGLE, 256)
+        wide = window_hash((codes > 255).astype(np.uint64), SHINGLE, 1) > 0
+        if wide.any():
+            exact[wide] = mix(window_hash(mix(codes + np.uint64(1)), SHINGLE, 0x9E3779B97F4A7C15))[wide] | np.uint64(1 << 63)
+        inside = line[: len(exact)] == line[len(line) - len(exact) :]
+        line, exact = line[: len(exact)][inside], exact[inside]
+        order = np.lexsort((exact, line))
+        line, exact = line[order], exact[order]
+        new = np.concatenate([[True], (line[1:] != line[:-1]) | (exact[1:] != exact[:-1])])[: len(line)]
+        found.append(exact[new])
+        lines_.append(line[new])
+        at = to
+    return Sets(np.concatenate(lines_), np.concatenate(found), len(lines))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Iterator[pa.RecordBatch]:
@@ -287,11 +301,13 @@ def line_components(post: Post, scratch: Scratch, kind: type[Lines] = Lines) ->
     found = scratch.keep(post.receive(met, candidates, CANDIDATES, CANDIDATES_ARROW), "candidates")
     lines = found.groupBy("line").agg(F.first("keys").alias("keys"), F.first("text").alias("text"))
     lines = scratch.keep(lines, "lines")
-    rows = lines.select("line", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
-    once = scratch.keep(groups.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "groups")
-    # Each row goes to as many tasks as its group has tiles; a task has a bounded number of them.
-    tasks = max(partitions(post.blocks.sparkSession), -(-(once.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0) // ROWS_PER_TASK))
+    rows = lines.select("line", F.explode("keys").alias("key"), F.length("text").cast("long").alias("size"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("long").alias("tiles")
+    once = scratch.keep(groups.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes")).select("key", "n", "bytes", tiles), "groups")
+    # Each row goes to as many tasks as its group has tiles; a task has a bounded number of them, and of their bytes.
+    n, size = once.agg(F.sum(F.col("n") * F.col("tiles")), F.sum(F.col("bytes") * F.col("tiles"))).first()
+    tasks = max(partitions(post.blocks.sparkSession), -(-(n or 0) // ROWS_PER_TASK), -(-(size or 0) // (2 * TILE_BYTES)))
     dealt = rows.join(once.select("key", "tiles"), "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
