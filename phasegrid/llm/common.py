@@ -208,8 +208,8 @@ class Block:
 MESSAGE = "bucket long, block long, blob binary"
 MESSAGE_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
 
-#: Messages that a block sends, about, and blocks that one relay serves.
-FAN = 256
+#: Messages that a block sends at most, and blocks that one relay serves.
+FAN, SERVED = 4096, 256
 
 
 def row_schemas(docs: DataFrame):
@@ -228,7 +228,7 @@ class Post:
 
     Up to FAN buckets a block writes to each bucket itself.  With more, buckets
     lie in columns of about the square root of their number: a block writes one
-    bundle to each column, a relay (a column and some FAN blocks) sorts the
+    bundle to each column, a relay (a column and some SERVED blocks) sorts the
     bundles by bucket, and answers come back the same way.  So neither blocks
     nor buckets write to all of the others.  Bucket -1 is the block itself.
     """
@@ -237,7 +237,7 @@ class Post:
         self.blocks, self.buckets = blocks, max(8, -(-raw // bucket_bytes))
         self.relayed = self.buckets > FAN
         self.width = max(1, math.isqrt(self.buckets))
-        self.groups = -(-blocks.count() // FAN) if self.relayed else 1
+        self.groups = -(-blocks.count() // SERVED) if self.relayed else 1
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"blocks": None}  # tasks need the numbers only

@@ -159,20 +159,19 @@ CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("key
 
 
 class Sets:
-    """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`.
-
-    Built from one row for each line and different shingle, lines ascending.
-    """
+    """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`."""
 
     def __init__(self, line: np.ndarray, shingle: np.ndarray, lines: int):
         order = np.argsort(shingle)
         ranked = shingle[order]
-        new = np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(ranked)]
-        del ranked
-        self.number = np.empty(len(order), np.int32)
-        self.number[order] = np.cumsum(new, dtype=np.int32)
-        self.n = int(self.number.max(initial=0)) + 1
-        self.size = np.bincount(line, minlength=lines)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(ranked)])
+        del order, ranked
+        self.n = int(number.max(initial=0)) + 1
+        both = np.sort(line * np.int64(self.n) + number)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+        self.number = (both % self.n).astype(np.int32)
+        self.size = np.bincount(both // self.n, minlength=lines)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.mark = np.zeros(self.n, bool)
 
@@ -208,12 +207,8 @@ def shingles(lines: list[bytes]) -> Sets:
         if wide.any():
             exact[wide] = mix(window_hash(mix(codes + np.uint64(1)), SHINGLE, 0x9E3779B97F4A7C15))[wide] | np.uint64(1 << 63)
         inside = line[: len(exact)] == line[len(line) - len(exact) :]
-        line, exact = line[: len(exact)][inside], exact[inside]
-        order = np.lexsort((exact, line))
-        line, exact = line[order], exact[order]
-        new = np.concatenate([[True], (line[1:] != line[:-1]) | (exact[1:] != exact[:-1])])[: len(line)]
-        found.append(exact[new])
-        lines_.append(line[new])
+        found.append(exact[inside])
+        lines_.append(line[: len(exact)][inside])
         at = to
     return Sets(np.concatenate(lines_), np.concatenate(found), len(lines))
 

@@ -349,6 +349,7 @@ def test_relays_change_nothing(spark, monkeypatch):
     from phasegrid.llm import common
 
     monkeypatch.setattr(common, "FAN", 3)
+    monkeypatch.setattr(common, "SERVED", 2)
     for name, part in ((substrings, "BUCKET_BYTES"), (suffixes, "SHARD_TEXT"), (lines, "BUCKET_BYTES")):
         monkeypatch.setattr(name, part, 2_000)
     cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
