@@ -96,6 +96,15 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, so that the join is no broadcast.
+
+    Spark judges by bytes on disk, where these tables are small; the rows of a
+    table of 10 MB can be more than the driver holds.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -466,7 +475,7 @@ def _stars(e: DataFrame) -> bool:
     """Whether each node has one edge and no root has any: then the stars are the components."""
     if e.groupBy("u").count().where("count > 1").limit(1).count():
         return False
-    return not e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+    return not e.select("v").distinct().join(shuffled(e.select(F.col("u").alias("v"))), "v", "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -483,10 +492,10 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(shuffled(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.keep(large.where("u != v").distinct(), f"cc_l{turn}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = large.join(shuffled(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = scratch.keep(small.distinct(), f"cc_s{turn}")
         spent += [f"cc_l{turn}", f"cc_s{turn - 1}" if turn else "cc"]
         turn += 1

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import MESSAGE, Block, Scratch, components, messages, receive, row_schemas, to_blocks
+from phasegrid.llm.common import MESSAGE, Block, Scratch, components, messages, receive, row_schemas, shuffled, to_blocks
 
 SEED = 42
 #: Bits that may differ, segments, and fingerprints that one value of a segment may have in its table.
@@ -97,11 +97,11 @@ def near_links(table: DataFrame, scratch: Scratch, distance: int = DISTANCE, seg
     at = ["segment", "value"]
     own = segment_rows(table, segments, 0)
     crowded = scratch.keep(own.groupBy(*at).count().where(F.col("count") > hot).select(*at), "crowded")
-    index = scratch.keep(own.join(crowded, at, "left_anti"), "index")
+    index = scratch.keep(own.join(shuffled(crowded), at, "left_anti"), "index")
     probes = segment_rows(table, segments, distance // segments)
-    met = probes.join(index.select(*at, F.col("rep").alias("other"), F.col("fp").alias("its")), at)
+    met = probes.join(shuffled(index.select(*at, F.col("rep").alias("other"), F.col("fp").alias("its"))), at)
     met = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("its"))) <= distance) & (F.col("rep") != F.col("other")))
-    crowd = own.join(crowded, at, "left_semi").select("rep", "fp").distinct()
+    crowd = own.join(shuffled(crowded), at, "left_semi").select("rep", "fp").distinct()
     return met.select(F.col("rep").alias("a"), F.col("other").alias("b")).union(whole_links(crowd, distance))
 
 
@@ -118,7 +118,7 @@ def owners(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, component_id) of each fingerprint of (doc_id, fp, ...)."""
     table = scratch.keep(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep", "fp"), "table")
     root = components(near_links(table, scratch), scratch)
-    return table.join(root, table["rep"] == root["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return table.join(shuffled(root), table["rep"] == root["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: s
     found = scratch.keep(fingerprints(docs, words, doc_id, text), "fingerprints")
     name = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return found.join(owners(found, scratch), "fp", "left").select("doc_id", name, own)
+    return found.join(shuffled(owners(found, scratch)), "fp", "left").select("doc_id", name, own)
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,7 +147,7 @@ def first_rows(docs: DataFrame, blocks: DataFrame, found: DataFrame, owned: Data
     """Of the documents (doc_id, fp, block, place) the first of each component (fp, component_id), and those without a doc_id."""
     columns = docs.columns
     schema, arrow = row_schemas(docs)
-    first = found.where("doc_id is not null").join(owned, "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "place")).alias("k"))
+    first = found.where("doc_id is not null").join(shuffled(owned), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "place")).alias("k"))
     stay = first.select("k.block", "k.place").union(found.where("doc_id is null").select("block", "place"))
 
     def note(t: pa.Table) -> pa.Table:

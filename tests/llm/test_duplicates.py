@@ -387,6 +387,22 @@ def test_simhash(spark):
     assert ids == Counter({u.find(d): 1 for d in prints}) + Counter({None: 2}) and kept.columns == frame(spark).columns
 
 
+def test_simhash_broadcasts_no_table(spark):
+    """Tables that grow with the input meet by shuffles, however few bytes they have on disk."""
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    rows = [(i, f"a {i} b c d {i // 3} e") for i in range(300)]
+    assert simhash.near_duplicates(frame(spark, rows), Scratch(spark)).collect()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(7)
+    assert components(chain, Scratch(spark)).count() == 200
+    bus.waitUntilEmpty(30_000)
+    done = store.executionsList(before, 10_000)
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize(("distance", "segments", "hot"), [(2, 2, 256), (2, 2, 2), (2, 2, 0), (2, 3, 1), (3, 2, 3), (4, 4, 256)])
 def test_links_are_complete(spark, distance, segments, hot):
     """Against all pairs, with values of a segment that few, many or all count as crowded."""
