@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import MESSAGE, Block, Scratch, components, messages, receive, row_schemas, shuffled, to_blocks
+from phasegrid.llm.common import M2, MESSAGE, Block, Scratch, components, messages, mix, receive, row_schemas, shuffled, to_blocks
 
 SEED = 42
 #: Bits that may differ, segments, and fingerprints that one value of a segment may have in its table.
@@ -57,6 +57,56 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+#: Factors that derive further hashes from one.
+FACTORS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """A longer fingerprint: majority bits of as many 64-bit words, hashes derived from each shingle's own."""
+    out, step = [], max(1, (1 << 20) // len(h))  # memory stays bounded for very long texts
+    for at in range(0, words, step):
+        x = h[:, None] * FACTORS[at : min(at + step, words)]
+        x ^= x >> np.uint64(32)
+        x *= M2
+        x ^= x >> np.uint64(29)
+        out.append(majority(x))
+    return np.concatenate(out)
+
+
+def majority(x: np.ndarray) -> np.ndarray:
+    """Bits set in over half the rows, counted in binary by full adders over whole words."""
+    planes, level = [], x
+    while len(level):
+        carries = [level[:0]]
+        while (m := len(level) // 3) > 0:
+            a, b, c = level[:m], level[m : 2 * m], level[2 * m : 3 * m]
+            odd = a ^ b
+            carries.append((a & b) | (c & odd))
+            level = np.concatenate([odd ^ c, level[3 * m :]])
+        if len(level) == 2:
+            carries.append(level[:1] & level[1:])
+            level = level[:1] ^ level[1:]
+        planes.append(level[0])
+        level = np.concatenate(carries)
+    over, equal = np.zeros_like(x[0]), ~np.zeros_like(x[0])
+    for k in reversed(range(len(planes))):
+        if len(x) // 2 >> k & 1:
+            equal &= planes[k]
+        else:
+            over |= equal & planes[k]
+            equal &= ~planes[k]
+    return over
+
+
+def segment_values(prints: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """The value of each segment of each fingerprint, with the segment's number below it, as one uint64."""
+    bits = np.unpackbits(prints.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : segments * width]
+    packed = np.packbits(bits.reshape(len(prints), segments, width), axis=2)
+    wide = np.zeros((len(prints), segments, 4), np.uint8)
+    wide[:, :, : packed.shape[2]] = packed
+    return wide.view(">u4")[:, :, 0].astype(np.uint64) << np.uint64(32) | np.arange(segments, dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long."""
 

@@ -446,6 +446,31 @@ def word_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_wide_fingerprints_reach_the_similarity():
+    """SimHash by plain counting, its segments, and pairs at 0.8 that agree in some segment and in most of a part."""
+    from phasegrid.llm import copies
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 64, 101):
+        h = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+        want = [sum(1 << j for j in range(64) if 2 * sum(int(x) >> j & 1 for x in h[:, k]) > n) for k in (0, 1)]
+        assert simhash.majority(h).tolist() == want
+    wide = simhash.wide_fingerprint(rng.integers(0, 2**64, 9, dtype=np.uint64), 3)
+    bits = "".join(format(x, "064b")[::-1] for x in wide.tolist())
+    assert [(v >> 38, v & (1 << 32) - 1) for v in simhash.segment_values(wide[None], 7, 26)[0].tolist()] == [(int(bits[k * 26 : k * 26 + 26], 2), k) for k in range(7)]
+    met = near = 0
+    for k in range(200):
+        n = (5, 20, 40, 110)[k % 4]
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        b = a[: n * 4 // 5]
+        segments = copies.MORE if n < copies.SHORT else copies.SEGMENTS
+        x = np.array([simhash.wide_fingerprint(s, -(-segments * copies.WIDTH // 64)) for s in (a, b)])
+        u, v = simhash.segment_values(x, segments, copies.WIDTH)
+        met += bool((u == v).any())
+        near += int(np.bitwise_count(x[0, : copies.PART] ^ x[1, : copies.PART]).sum()) <= copies.DISTANCE
+    assert met >= 195 and near == 200
+
+
 def test_near_copies_of_short_lines_go(spark):
     """Copies with changed words at similarity 0.8 or more, as short lines; others under 0.8 stay."""
     from corpus_pipeline import drop_near_copies
