@@ -63,7 +63,7 @@ class Lines:
 
     def several(self) -> np.ndarray:
         """Lines of a shingle's length or more: shorter ones have exact copies only."""
-        return np.fromiter((len(x) >= SHINGLE and len(x.decode()) >= SHINGLE for x in self.bare), bool, len(self.bare))
+        return np.fromiter((len(x) >= SHINGLE and (len(x) >= 4 * SHINGLE or len(x.decode()) >= SHINGLE) for x in self.bare), bool, len(self.bare))
 
     def signatures(self, at: np.ndarray) -> np.ndarray:
         return signatures([self.bare[k] for k in at.tolist()])
@@ -122,31 +122,42 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def _keys(x: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different lines, their band keys; different keys, a tag of a line of each, whether two lines have it."""
+def _keys(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of the different lines, ascending, and a tag of the line of each."""
     at = x.different()
-    key = bands(x.signatures(at)) if len(at) else np.zeros((0, BANDS), np.uint64)
-    values, first, inverse, n = np.unique(key.ravel(), return_index=True, return_inverse=True, return_counts=True)
-    tag = (x.hash[at][first // BANDS] & np.uint64(0xFFFFFFFF)).astype("<u4") if len(at) else np.zeros(0, "<u4")
-    return at, inverse.reshape(key.shape), values, tag, n > 1
+    key = bands(x.signatures(at)).ravel() if len(at) else np.zeros(0, np.uint64)
+    order = np.argsort(key)
+    return key[order], np.repeat(_tags(x, at), BANDS)[order]
+
+
+def _tags(x: Lines, at: np.ndarray) -> np.ndarray:
+    return (x.hash[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
 def _met(blobs: list[bytes]) -> list[bytes]:
-    """For each key of each message: whether two different lines have it."""
+    """Of each message, the keys that two different lines have, and their tags."""
     got = [unframe(b) for b in blobs]
-    values = [unpack_u64(v) for v, _, _ in got]
-    table, index = np.unique(np.concatenate(values), return_inverse=True)
-    tags = np.concatenate([np.frombuffer(t, "<u4") for _, t, _ in got])
-    several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool) for (_, _, f), v in zip(got, values, strict=True)])
-    low, high = np.full(len(table), 0xFFFFFFFF, np.uint32), np.zeros(len(table), np.uint32)
-    np.minimum.at(low, index, tags)
-    np.maximum.at(high, index, tags)
-    met = low != high
-    met[index[several]] = True
-    out, at = [], 0
-    for v in values:
-        out.append(np.packbits(met[index[at : at + len(v)]]).tobytes())
-        at += len(v)
+    values = [unpack_u64(v) for v, _ in got]
+    tags = [np.frombuffer(t, "<u4") for _, t in got]
+    every = np.sort(np.concatenate(values))
+    again = every[1:][every[1:] == every[:-1]]  # few, as a rule
+    again = again[np.concatenate([[True], again[1:] != again[:-1]])[: len(again)]]
+    low, high, met = np.full(len(again), 0xFFFFFFFF, np.uint32), np.zeros(len(again), np.uint32), np.zeros(len(again), bool)
+    found = []
+    for v, t in zip(values, tags, strict=True):
+        place = np.searchsorted(again, v)
+        hit = np.flatnonzero(place < len(again))
+        hit = hit[again[place[hit]] == v[hit]]
+        place = place[hit]
+        np.minimum.at(low, place, t[hit])
+        np.maximum.at(high, place, t[hit])
+        met[place[1:][place[1:] == place[:-1]]] = True  # of one block: different lines, whatever their tags
+        found.append((hit, place))
+    met |= low != high
+    out = []
+    for v, t, (hit, place) in zip(values, tags, found, strict=True):
+        hit = hit[met[place]]
+        out.append(frames(pack_u64(v[hit]), t[hit].tobytes()))
     return out
 
 
@@ -158,20 +169,37 @@ CANDIDATES = "block long, line long, keys array<long>, text binary"
 CANDIDATES_ARROW = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each value, equal for equal ones only, and a bound that all are below.
+
+    A value's number is its place in a table, if it is what stands there in the
+    end; the others go to a table of their own, and so on.  This takes a third
+    of a sort's time, and each table settles one value at least.
+    """
+    number, base, factor = np.zeros(len(values), np.int64), 0, 0x9E3779B97F4A7C15
+    open_ = np.arange(len(values))
+    while len(open_):
+        own = values[open_]
+        bits = max(4, len(own).bit_length())
+        place = (own * np.uint64(factor) >> np.uint64(64 - bits)).astype(np.int64)
+        table = np.empty(1 << bits, np.uint64)
+        table[place] = own
+        number[open_] = place + base
+        open_ = open_[table[place] != own]
+        base, factor = base + (1 << bits), (factor * 6364136223846793005 + 1442695040888963407) % 2**64 | 1
+    return number, max(base, 1)
+
+
 class Sets:
     """The different shingles of each of some lines, as numbers below `n`: line k has `number[begin[k]:begin[k + 1]]`."""
 
     def __init__(self, line: np.ndarray, shingle: np.ndarray, lines: int):
-        order = np.argsort(shingle)
-        ranked = shingle[order]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])[: len(ranked)])
-        del order, ranked
-        self.n = int(number.max(initial=0)) + 1
-        both = np.sort(line * np.int64(self.n) + number)
+        number, self.n = numbered(shingle)
+        bits = np.int64(self.n.bit_length())
+        both = np.sort(line.astype(np.int64) << bits | number)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
-        self.number = (both % self.n).astype(np.int32)
-        self.size = np.bincount(both // self.n, minlength=lines)
+        self.number = (both & ((np.int64(1) << bits) - 1)).astype(np.int32)
+        self.size = np.bincount(both >> bits, minlength=lines)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.mark = np.zeros(self.n, bool)
 
@@ -231,6 +259,7 @@ def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Ite
     order = np.lexsort((local, pair, key))
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(pair[order]) != 0), [True]])).tolist()
     root = list(range(len(names)))
+    moved = np.zeros(len(names), bool)
     a_out: list[int] = []
     b_out: list[int] = []
 
@@ -241,12 +270,19 @@ def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Ite
 
     for a, z in zip(edge, edge[1:], strict=False):
         members = local[order[a:z]]
+        if z - a == 2:  # most groups
+            new, old = sorted(map(find, members.tolist()))
+            if new != old and sets.like(members[0], members[1:])[0]:
+                root[old] = new
+                a_out.append(new)
+                b_out.append(old)
+            continue
         waiting: dict[int, list[int]] = {}
         for k in members.tolist():
             waiting.setdefault(find(k), []).append(k)
         label = None
         while len(waiting) > 1:
-            least = min(waiting, key=lambda r: len(waiting[r])) if z - a > 2 else next(iter(waiting))
+            least = min(waiting, key=lambda r: len(waiting[r]))
             x = waiting[least].pop()
             if not waiting[least]:
                 del waiting[least]
@@ -263,7 +299,9 @@ def _verify(batches: Iterator[pa.RecordBatch], kind: type[Lines] = Lines) -> Ite
                 root[r] = new
                 a_out.append(new)
                 b_out.append(r)
-            label[np.isin(label, list(joined))] = new
+            moved[list(joined)] = True
+            label[moved[label]] = new
+            moved[list(joined)] = False
             if stay:
                 waiting[new] = stay
     yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)]) for x in (a_out, b_out)], ["a", "b"])
@@ -275,39 +313,47 @@ def line_components(post: Post, scratch: Scratch, kind: type[Lines] = Lines) ->
     buckets = post.buckets
 
     def keys(block: Block):
-        _, _, values, tag, several = _keys(kind(block))
-        for b, x, y in split_by_bucket(values, buckets):
-            yield b, frames(pack_u64(values[x:y]), tag[x:y].tobytes(), np.packbits(several[x:y]).tobytes())
+        key, tag = _keys(kind(block))
+        for b, x, y in split_by_bucket(key, buckets):
+            yield b, frames(pack_u64(key[x:y]), tag[x:y].tobytes())
 
     met = scratch.keep(post.answer(post.send(keys), _met), "met")
 
-    def candidates(block: Block, replies: dict[int, bytes]) -> pa.Table:
+    def candidates(block: Block, replies: dict[int, bytes]) -> pa.Table | None:
+        """The lines with a key that another has, and those keys: signatures aren't made again."""
+        got = [unframe(x) for x in replies.values()]
+        if not sum(len(t) for _, t in got):
+            return None
+        own, tags = np.concatenate([unpack_u64(v) for v, _ in got]), np.concatenate([np.frombuffer(t, "<u4") for _, t in got])
+        order = np.argsort(tags, kind="stable")
+        own, tags = _signed(own[order]), tags[order]
         x = kind(block)
-        at, index, values, _, _ = _keys(x)
-        hit = np.zeros(len(values), bool)
-        for b, p, q in split_by_bucket(values, buckets):
-            hit[p:q] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=q - p).astype(bool)
-        hits = hit[index]
-        rows = np.flatnonzero(hits.any(1))
-        own = _signed(values)
-        lists = [own[index[k][hits[k]]].tolist() for k in rows.tolist()]
-        return pa.table({"block": pa.array([block.block] * len(rows), pa.int64()), "line": _signed(x.hash[at[rows]]), "keys": pa.array(lists, pa.list_(pa.int64())), "text": pa.array([x.bare[k] for k in at[rows].tolist()], pa.binary())})
+        at = x.different()
+        low = _tags(x, at)  # lines of one tag have each other's keys too, and are compared
+        begin, end = np.searchsorted(tags, low), np.searchsorted(tags, low, side="right")
+        hit = np.flatnonzero(end > begin)
+        lists = [own[a:z].tolist() for a, z in zip(begin[hit].tolist(), end[hit].tolist(), strict=True)]
+        return pa.table({"block": pa.array([block.block] * len(hit), pa.int64()), "line": _signed(x.hash[at[hit]]), "keys": pa.array(lists, pa.list_(pa.int64())), "text": pa.array([x.bare[k] for k in at[hit].tolist()], pa.binary())})
 
     found = scratch.keep(post.receive(met, candidates, CANDIDATES, CANDIDATES_ARROW), "candidates")
     lines = found.groupBy("line").agg(F.first("keys").alias("keys"), F.first("text").alias("text"))
     lines = scratch.keep(lines, "lines")
     rows = lines.select("line", F.explode("keys").alias("key"), F.length("text").cast("long").alias("size"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("sum"), F.min("line").alias("lead")).where("n > 1")
     tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("long").alias("tiles")
-    once = scratch.keep(groups.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes")).select("key", "n", "bytes", tiles), "groups")
+    # A line's small groups lie in one task, a tile at most in all: there its shingles are numbered once, and what is connected isn't compared again.
+    small = (F.col("n") <= TILE // BANDS) & (F.col("bytes") <= TILE_BYTES // BANDS)
+    lead = F.when(small, F.col("lead")).otherwise(F.col("key")).alias("lead")
+    once = groups.groupBy("n", "sum").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"), F.min("lead").alias("lead"))
+    once = scratch.keep(once.select("key", "n", "bytes", tiles, lead), "groups")
     # Each row goes to as many tasks as its group has tiles; a task has a bounded number of them, and of their bytes.
     n, size = once.agg(F.sum(F.col("n") * F.col("tiles")), F.sum(F.col("bytes") * F.col("tiles"))).first()
     tasks = max(partitions(post.blocks.sparkSession), -(-(n or 0) // ROWS_PER_TASK), -(-(size or 0) // (2 * TILE_BYTES)))
-    dealt = rows.join(once.select("key", "tiles"), "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
+    dealt = rows.join(once.select("key", "tiles", "lead"), "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pair = (F.least("tile", "other") * (1 << 20) + F.greatest("tile", "other")).alias("pair")
-    dealt = dealt.select("key", pair, "line").join(lines.select("line", "text"), "line")
-    edges = dealt.repartition(tasks, "key", "pair").mapInArrow(lambda batches: _verify(batches, kind), "a long, b long")
+    dealt = dealt.select("lead", "key", pair, "line").join(lines.select("line", "text"), "line")
+    edges = dealt.repartition(tasks, "lead", "pair").mapInArrow(lambda batches: _verify(batches, kind), "a long, b long")
     return found, components(edges, scratch)
 
 

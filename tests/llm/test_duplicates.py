@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from phasegrid.llm import embeddings, lines, simhash, substrings, suffixes
-from phasegrid.llm.common import Scratch, components
+from phasegrid.llm.common import Post, Scratch, components, to_blocks
 from tests.llm.cases import empty, frame, ordered, prose, rows_of, texts
 
 
@@ -145,6 +145,71 @@ def test_groups_are_verified_whole():
     assert found > 100
 
 
+def test_groups_of_two_are_verified():
+    """Just above and below the threshold; lines that are connected already give no edge again."""
+    rng = random.Random(12)
+    rows, want = [], Union()
+    for k in range(300):
+        x = "".join(rng.choice("abcdefgh日") for _ in range(rng.randint(8, 90)))
+        at = rng.randrange(len(x))
+        y = rng.choice([x + "y" * rng.randint(1, 9), x[:at] + "y" + x[at + 1 :]])
+        rows += [(k, 2 * k, x), (k, 2 * k + 1, y), (1000 + k, 2 * k, x), (1000 + k, 2 * k + 1, y)]
+        if alike(plain_shingles(x), plain_shingles(y)):
+            want.join(2 * k, 2 * k + 1)
+    group = pa.table({"key": [r[0] for r in rows], "pair": [0] * len(rows), "line": [r[1] for r in rows], "text": pa.array([r[2].encode() for r in rows], pa.binary())})
+    got = [tuple(e) for out in lines._verify(iter(group.to_batches())) for e in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert got == [(2 * k, 2 * k + 1) for k in range(300) if want.find(2 * k) == want.find(2 * k + 1)]
+    assert 50 < len(got) < 250
+
+
+def test_numbers_stand_for_values():
+    """Also for values that all fall on one place of the first table."""
+    rng = np.random.default_rng(2)
+    back = pow(0x9E3779B97F4A7C15, -1, 2**64)
+    crowded = np.array([k * back % 2**64 for k in range(500)], np.uint64)
+    for values in (rng.integers(0, 2**64, 5000, np.uint64), np.repeat(crowded, 3), rng.integers(0, 50, 4000).astype(np.uint64), np.zeros(1000, np.uint64), np.zeros(0, np.uint64)):
+        values = rng.permutation(values)
+        number, n = lines.numbered(values)
+        pairs = set(zip(values.tolist(), number.tolist(), strict=True))
+        assert len(pairs) == len(np.unique(values)) == len(np.unique(number))
+        assert all(0 <= k < n for _, k in pairs)
+
+
+def test_lines_are_signed_and_numbered_once(spark, tmp_path):
+    """One signature for each block and line; a cluster's lines are numbered in two tasks at most, not in one for each group."""
+    log = str(tmp_path / "log")
+
+    class Logged(lines.Lines):
+        def signatures(self, at):
+            with open(log, "a") as f:
+                f.write(f"signed {len(at)}\n")
+            return super().signatures(at)
+
+        @staticmethod
+        def shingles(own):
+            with open(log, "a") as f:
+                f.write(f"numbered {len(own)}\n")
+            return lines.shingles(own)
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        w = prose(rng, 60, 60).split(" ")
+        for k in range(3):
+            own = list(w)
+            own[5 + 20 * k] = f"other{i}"
+            rows.append((3 * i + k, " ".join(own)))
+    scratch = Scratch(spark)
+    blocks, raw = to_blocks(frame(spark, rows), scratch)
+    _, root = lines.line_components(Post(blocks, raw, lines.BUCKET_BYTES), scratch, Logged)
+    assert Counter(Counter(r["root"] for r in root.collect()).values()) == {2: 40}
+    total = Counter()
+    for what, n in (x.split() for x in open(log).read().splitlines()):
+        total[what] += int(n)
+    assert total["signed"] == 120
+    assert total["numbered"] <= 5 * 40
+
+
 def kept_lines(rows):
     order = sorted(((-(2**63) if d is None else d), k, p, x) for k, (d, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n") if t is not None else []))
     bare = lambda x: x.strip(" \t\r\x0b\x0c")
