@@ -18,6 +18,12 @@ def along(axis: str):
     return Window.partitionBy("scene", fixed).orderBy(moving)
 
 
+def upto(axis: str, reverse: bool = False):
+    """Running window from the first pixel of a line, or from its last, to this one."""
+    fixed, moving = ("row", "col") if axis == "row" else ("col", "row")
+    return Window.partitionBy("scene", fixed).orderBy(F.desc(moving) if reverse else F.asc(moving)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def clean(df: DataFrame) -> DataFrame:
     """Non-finite complex values and coherences become 0; a missing mask is all valid."""
     bad = lambda c: F.isnan(c) | F.col(c).isNull() | (F.abs(F.col(c)) == float("inf"))
@@ -83,12 +89,11 @@ def dilate(df: DataFrame, pixels: int, mask: str = "mask") -> DataFrame:
     if pixels < 0:
         raise ValueError("pixels must be >= 0")
     far = F.lit(1 << 30)
-    before, after = along("row").rowsBetween(Window.unboundedPreceding, 0), along("row").rowsBetween(0, Window.unboundedFollowing)
-    left = F.col("col") - F.max(F.when(F.col(mask), F.col("col"))).over(before)
-    right = F.min(F.when(F.col(mask), F.col("col"))).over(after) - F.col("col")
+    # Minima from the far end are running ones in the opposite order: a frame that ends at the last row is read anew for each row.
+    left = F.col("col") - F.max(F.when(F.col(mask), F.col("col"))).over(upto("row"))
+    right = F.min(F.when(F.col(mask), F.col("col"))).over(upto("row", True)) - F.col("col")
     df = df.withColumn("_d", F.least(F.coalesce(left, far), F.coalesce(right, far)))
-    up, down = along("col").rowsBetween(Window.unboundedPreceding, 0), along("col").rowsBetween(0, Window.unboundedFollowing)
-    d = F.least(F.min(F.col("_d") - F.col("row")).over(up) + F.col("row"), F.min(F.col("_d") + F.col("row")).over(down) - F.col("row"))
+    d = F.least(F.min(F.col("_d") - F.col("row")).over(upto("col")) + F.col("row"), F.min(F.col("_d") + F.col("row")).over(upto("col", True)) - F.col("row"))
     return df.withColumn(mask, d <= pixels).drop("_d")
 
 
