@@ -63,9 +63,10 @@ def fill_gaps(profile: DataFrame, reach: int = REACH) -> DataFrame:
     """Short gaps are interpolated, others fade to zero within `reach` lines; beyond that null."""
     seam = _seam_of(profile)
     back = Window.partitionBy(*seam).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*seam).orderBy("line").rowsBetween(0, Window.unboundedFollowing)
+    # The lines ahead are those behind in the opposite order: a frame that ends at the last line is read anew for each line.
+    ahead = Window.partitionBy(*seam).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("diff").isNotNull(), F.struct("line", "diff"))
-    p = profile.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_q": F.first(known, ignorenulls=True).over(ahead)})
+    p = profile.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_q": F.last(known, ignorenulls=True).over(ahead)})
     i, a, b = F.col("line"), F.col("_p.line"), F.col("_q.line")
     x, y = F.col("_p.diff"), F.col("_q.diff")
     return p.withColumn(

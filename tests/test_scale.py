@@ -1,6 +1,6 @@
 """Plans that grow no faster than their input."""
 
-from phasegrid.operators import grid
+from phasegrid.operators import grid, seams
 from phasegrid.sources import from_arrays
 
 
@@ -17,3 +17,8 @@ def flat(spark, nrow=6, ncol=8):
 def test_dilation_has_running_frames_only(spark):
     """A frame that ends at the last row is read anew for each row: quadratic in the line."""
     assert "unboundedfollowing" not in plan_of(grid.dilate(flat(spark), 2))
+
+
+def test_gap_filling_has_running_frames_only(spark):
+    filled = seams.fill_gaps(seams.moving_median(seams.seam_profile(flat(spark), 4)))
+    assert "unboundedfollowing" not in plan_of(filled)
