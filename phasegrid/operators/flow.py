@@ -67,10 +67,13 @@ def residual_edges(arcs: DataFrame, shape: tuple[int, int]) -> DataFrame:
 
 
 def relax(edges: DataFrame, dist: DataFrame) -> DataFrame:
-    """One Bellman-Ford round: (scene, node, dist, via, improved); of equal distances the lowest source wins."""
-    reach = edges.join(dist.select("scene", F.col("node").alias("src"), "dist"), ["scene", "src"])
+    """One Bellman-Ford round: (scene, node, dist, via, improved); of equal distances the lowest source wins.
+
+    Both joins are by shuffles: there are as many nodes as loops, whatever the planner takes their table's size to be.
+    """
+    reach = edges.join(dist.select("scene", F.col("node").alias("src"), "dist").hint("merge"), ["scene", "src"])
     best = reach.groupBy("scene", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("cost")).alias("d"), F.col("src").alias("s"))).alias("b"))
-    new = dist.join(best, ["scene", "node"], "left")
+    new = dist.join(best.hint("merge"), ["scene", "node"], "left")
     better = F.coalesce(F.col("b.d") < F.col("dist"), F.lit(False))
     return new.select("scene", "node", F.when(better, F.col("b.d")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("b.s")).alias("via"), better.alias("improved"))
 
@@ -78,7 +81,8 @@ def relax(edges: DataFrame, dist: DataFrame) -> DataFrame:
 def network_nodes(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Start of the relaxation: every node and the ground at distance 0."""
     n = (shape[0] - 1) * (shape[1] - 1)
-    return df.select("scene").distinct().select("scene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("node"), F.lit(0).cast("long").alias("dist"))
+    nodes = df.sparkSession.range(n + 1).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return nodes.crossJoin(F.broadcast(df.select("scene").distinct())).select("scene", "node", "dist")
 
 
 def cancel_cycles(arcs: DataFrame, shape: tuple[int, int], model: CostModel = CostModel(), flow: str = "flow") -> DataFrame:

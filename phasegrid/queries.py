@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from phasegrid.functions import phase as P
 from phasegrid.operators import bridge as B
 from phasegrid.operators import components, costs, flow, grid, seams, tiles
+from phasegrid.operators.graph import written
 from phasegrid.options import BridgeOptions, CostModel, LaplaceOptions, UnwrapOptions
 from phasegrid.plans.unwrap import unwrap
 from phasegrid.solvers.tiles import refine_flows, solve_tiles
@@ -397,7 +398,8 @@ SELECT d1.node, least(d, x) AS dist, x < d AS improved FROM d1 JOIN b USING (nod
 def relaxation_rounds(spark, sf_dir):
     """Two Bellman-Ford rounds over the residue network."""
     shape = raster_shape(spark, sf_dir)
-    edges = flow.residual_edges(costs.with_incremental(_flowing(spark, sf_dir)), shape)
+    # Written: each round reads the edges again.
+    edges = written(flow.residual_edges(costs.with_incremental(_flowing(spark, sf_dir)), shape).select("scene", "src", "dst", "cost"))
     dist = flow.network_nodes(edges, shape)
     for _ in range(2):
         dist = flow.relax(edges, dist.select("scene", "node", "dist"))

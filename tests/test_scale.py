@@ -1,6 +1,6 @@
 """Plans that grow no faster than their input."""
 
-from phasegrid.operators import grid, seams
+from phasegrid.operators import flow, grid, seams
 from phasegrid.sources import from_arrays
 
 
@@ -22,3 +22,12 @@ def test_dilation_has_running_frames_only(spark):
 def test_gap_filling_has_running_frames_only(spark):
     filled = seams.fill_gaps(seams.moving_median(seams.seam_profile(flat(spark), 4)))
     assert "unboundedfollowing" not in plan_of(filled)
+
+
+def test_relaxation_joins_by_shuffles(spark):
+    """There are as many nodes as loops: their table is made in parts, and nothing of that size is broadcast."""
+    edges = spark.range(8).selectExpr("'s' AS scene", "id AS src", "id + 1 AS dst", "CAST(1 AS INT) AS cost")
+    nodes = flow.network_nodes(edges, (4, 4))
+    assert sorted(tuple(r) for r in nodes.collect()) == [("s", k, 0) for k in range(10)]
+    plan = plan_of(flow.relax(edges, nodes))
+    assert "BroadcastHashJoin" not in plan and "sequence" not in plan
