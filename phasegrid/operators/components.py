@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasegrid.operators.graph import components
+from phasegrid.operators.graph import components, written
 from phasegrid.operators.grid import along
 
 
@@ -47,7 +47,8 @@ def label_runs(df: DataFrame, shape: tuple[int, int], valid: Column, step: str |
     df = df.withColumns({"_next": F.lead("run").over(v), "_below": F.coalesce(below, F.lit(False))})
     # Scenes are kept apart by their number in the high bits of a node.
     scenes = df.select("scene").distinct().withColumn("_scene", F.row_number().over(Window.orderBy("scene")).cast("long"))
-    df = df.join(scenes, "scene")
+    # Written: the graph and its answer both read the runs, which would be made twice.
+    df = written(df.join(F.broadcast(scenes), "scene").select("scene", "row", "col", "_scene", "_valid", "run", "_next", "_below"))
     node = lambda c: F.shiftleft("_scene", 41) + F.col(c)
     pairs = df.where("_below").select(node("run").alias("a"), node("_next").alias("b"))
     if diagonal:
@@ -55,7 +56,7 @@ def label_runs(df: DataFrame, shape: tuple[int, int], valid: Column, step: str |
         pairs = pairs.union(aside.where("_l is not null").select(node("run"), node("_l"))).union(aside.where("_r is not null").select(node("run"), node("_r")))
     found = components(pairs.distinct())
     df = df.withColumn("_node", node("run"))
-    out = df.join(found, df["_node"] == found["node"], "left")
+    out = df.join(found.hint("merge"), df["_node"] == found["node"], "left")
     root = F.coalesce(F.col("root").bitwiseAND((1 << 41) - 1), F.col("run"))
     return out.select("scene", "row", "col", F.when(F.col("_valid"), root).alias("root"))
 
@@ -90,7 +91,7 @@ def confidence(df: DataFrame, shape: tuple[int, int], arcs: DataFrame | None = N
     if arcs is not None:
         sure = F.least("poscost", "negcost") >= threshold
         wide = arcs.groupBy("scene", "row", "col").agg(F.bool_or(F.when(F.col("axis") == "row", sure)).alias("_or"), F.bool_or(F.when(F.col("axis") == "col", sure)).alias("_oc"))
-        df = df.join(wide, ["scene", "row", "col"], "left")
+        df = df.join(wide.hint("merge"), ["scene", "row", "col"], "left")  # as many arcs as pixels: nothing to broadcast
         open_row, open_col = F.coalesce("_or", F.lit(False)), F.coalesce("_oc", F.lit(False))
     labels = label_runs(df, shape, F.coalesce(valid, F.lit(False)), unw, False, open_row, open_col)
     return compact(labels, None, min_conncomp_frac, max_ncomps)

@@ -96,7 +96,7 @@ def incremental(flow, model: CostModel = CostModel(), step: int = 1, offset="off
 
     def cost(delta: int) -> Column:
         raw = at(k + delta) - at(k)
-        whole = F.when(raw > 0, ceil_div(raw, square)).otherwise(floor_div(raw, square))
+        whole = F.when(raw > 0, ceil_div(raw, square)).otherwise(floor_div(raw, square)) if step != 1 else raw
         return F.when(s == NO_PREFERENCE, F.lit(0)).otherwise(F.greatest(F.lit(-COST_LIMIT), F.least(F.lit(COST_LIMIT), whole))).cast("short")
 
     return cost(step), cost(-step)

@@ -1,6 +1,6 @@
 """Plans that grow no faster than their input."""
 
-from phasegrid.operators import flow, grid, seams
+from phasegrid.operators import components, flow, grid, seams
 from phasegrid.sources import from_arrays
 
 
@@ -31,3 +31,10 @@ def test_relaxation_joins_by_shuffles(spark):
     assert sorted(tuple(r) for r in nodes.collect()) == [("s", k, 0) for k in range(10)]
     plan = plan_of(flow.relax(edges, nodes))
     assert "BroadcastHashJoin" not in plan and "sequence" not in plan
+
+
+def test_runs_are_made_once(spark):
+    """The graph and the labels read the runs; the second reader must not make them again."""
+    df = flat(spark)
+    labels = components.label_runs(df, (6, 8), df["mask"], "unw")
+    assert "Window" not in plan_of(labels) and labels.where("root = 0").count() == 48
