@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,10 +40,9 @@ def _seam_of(profile: DataFrame) -> list[str]:
 def seam_profiles(df: DataFrame, places: list[int], axis: str = "col", unw: str = "unw") -> DataFrame:
     """(scene, place, line, diff) of all seams of an axis, from one pass over the pixels beside them."""
     across, line = ("col", "row") if axis == "col" else ("row", "col")
-    near = df.where(F.col(across).isin(sorted({p - k for p in places for k in (0, 1)})))
-    # A pixel lies beside two seams where a tile has one line of its own.
-    side = F.explode(F.filter(F.array(*map(F.lit, places)), lambda p: (p == F.col(across)) | (p == F.col(across) + 1)))
-    near = near.select("scene", side.alias("place"), F.col(line).alias("line"), F.col(across).alias("_x"), F.when(F.col("mask"), F.col(unw)).alias("_u"))
+    # A pixel lies beside two seams where a tile has one line of its own.  The places are looked up: a list would be read through for each pixel.
+    sides = df.sparkSession.createDataFrame(pa.table({"place": np.repeat(np.array(places, np.int32), 2), "_x": (np.array(places, np.int32)[:, None] - [1, 0]).ravel().astype(np.int32)}))
+    near = df.select("scene", F.col(line).alias("line"), F.col(across).alias("_x"), F.when(F.col("mask"), F.col(unw)).alias("_u")).join(F.broadcast(sides), "_x")
     before, after = F.max(F.when(F.col("_x") < F.col("place"), F.col("_u"))), F.max(F.when(F.col("_x") == F.col("place"), F.col("_u")))
     return near.groupBy("scene", "place", "line").agg((before - after).alias("diff"))
 
@@ -92,39 +91,98 @@ def _share(x: int, place: int, feather: int) -> float:
     return 1.0 - (x - place) / float(feather) if place <= x < place + feather else 0.0
 
 
+def _moved(places: list[int], feather: int) -> dict[int, list[tuple[int, float]]]:
+    """For each seam those before it that reach over it, with what a step of theirs adds to its own."""
+    first, out = 0, {}
+    for n, k in enumerate(places):
+        while places[first] + feather < k:
+            first += 1
+        out[k] = [(j, w) for j in places[first:n] if (w := _share(k - 1, j, feather) - _share(k, j, feather))]
+    return out
+
+
+def _median_of(diff: np.ndarray) -> np.ndarray:
+    """moving_median of one seam's lines in order, nan for null."""
+    half = SMOOTH // 2
+    near = np.sort(np.lib.stride_tricks.sliding_window_view(np.pad(diff, half, constant_values=np.nan), SMOOTH), axis=1)
+    n = np.count_nonzero(near == near, axis=1)  # nan is sorted last
+    return np.where(diff == diff, near[np.arange(len(diff)), n // 2 * (n > 0)], np.nan)
+
+
+def _filled_of(line: np.ndarray, diff: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """fill_gaps of one seam's lines in order, nan for null."""
+    at, known = np.arange(len(diff)), diff == diff
+    p, q = np.maximum.accumulate(np.where(known, at, -1)), np.minimum.accumulate(np.where(known, at, len(diff))[::-1])[::-1]
+    back, ahead = p >= 0, q < len(diff)
+    p, q = np.where(back, p, 0), np.where(ahead, q, 0)
+    i, a, b, x, y = line, line[p], line[q], diff[p], diff[q]
+    between = x + (i - a) / np.maximum(b - a, 1).astype(float) * (y - x)
+    cases = [known, back & ahead & (b - a <= 2 * reach), back & (i - a <= reach), ahead & (b - i <= reach)]
+    return np.select(cases, [diff, between, x * (1.0 - (i - a) / float(reach)), y * (1.0 - (b - i) / float(reach))], np.nan)
+
+
+def _fold_seams(moved: dict[int, list[tuple[int, float]]]):
+    """A chain's seams in order; each sees the filled steps of those before it that reach over it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("line", "ascending")])
+        place, line = t.column("place").to_numpy(), t.column("line").to_numpy()
+        diff = t.column("diff").cast(pa.float64()).fill_null(math.nan).to_numpy().copy()
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        where = {int(place[a]): slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True)}
+        for k, own in where.items():
+            for j, w in moved[k]:
+                if j in where:
+                    at = np.searchsorted(line[where[j]], line[own])
+                    same = at < len(line[where[j]])
+                    same[same] = line[where[j]][at[same]] == line[own][same]
+                    step = np.zeros(len(at))
+                    step[same] = np.nan_to_num(diff[where[j]][at[same]])
+                    diff[own] += w * step
+            diff[own] = _filled_of(line[own], _median_of(diff[own]))
+        return pa.table({"scene": t.column("scene"), "place": t.column("place"), "line": t.column("line"), "diff": pa.array(diff, from_pandas=True)})
+
+    return run
+
+
 def seam_steps(df: DataFrame, places: list[int], feather: int, axis: str = "col", unw: str = "unw") -> DataFrame:
     """(scene, place, line, diff): the filled step of every seam, each measured on what the ones before changed.
 
     The pixels are read once.  Where no seam lies within the feather of another,
-    all seams are one table keyed by seam; else the small table of profiles is
-    worked through seam by seam, each written.
+    all seams are one table keyed by seam.  Else a scene's chain of seams that
+    reach over the next is one group, worked through in order: a number for each
+    line of a seam, so no more than the pixels over the lines between seams.
     """
-    profiles = seam_profiles(df, places, axis, unw)
-    moved = {k: [(j, w) for j in places[:n] if (w := _share(k - 1, j, feather) - _share(k, j, feather))] for n, k in enumerate(places)}
+    profiles, moved = seam_profiles(df, places, axis, unw), _moved(places, feather)
     if not any(moved.values()):
         return fill_gaps(moving_median(profiles))
-    profiles, filled = written(profiles), {}
-    for k in places:
-        own = profiles.where(F.col("place") == k)
-        for j, w in moved[k]:
-            before = filled[j].select("scene", "line", F.col("diff").alias("_step"))
-            own = own.join(before, ["scene", "line"], "left").withColumn("diff", F.col("diff") + w * F.coalesce("_step", F.lit(0.0))).drop("_step")
-        filled[k] = written(fill_gaps(moving_median(own)))
-    return reduce(DataFrame.union, (f.select("scene", "place", "line", "diff") for f in filled.values()))
+    heads = np.array([k for k in places if not moved[k]], np.int32)
+    chain = np.searchsorted(heads, np.array(places), "right").astype(np.int32)
+    chains = df.sparkSession.createDataFrame(pa.table({"place": np.array(places, np.int32), "_chain": chain}))
+    rows = profiles.select("scene", F.col("place").cast("int").alias("place"), F.col("line").cast("int").alias("line"), F.col("diff").cast("double").alias("diff"))
+    return rows.join(F.broadcast(chains), "place").groupBy("scene", "_chain").applyInArrow(lambda t: _fold_seams(moved)(t), "scene string, place int, line int, diff double")
 
 
 def seams_apply(df: DataFrame, steps: DataFrame, feather: int, axis: str = "col", unw: str = "unw") -> DataFrame:
-    """Add the filled steps of all seams of an axis, in the order of the seams: one join by line."""
+    """Add the filled steps of all seams of an axis, in the order of the seams: one join by line and stretch.
+
+    A stretch has as many lines as the feather, so a seam reaches two of them and
+    a pixel meets only the seams of its own and the stretch before.
+    """
     across, line = ("col", "row") if axis == "col" else ("row", "col")
-    found = steps.where("diff is not null").groupBy("scene", F.col("line").alias(line)).agg(F.array_sort(F.collect_list(F.struct("place", "diff"))).alias("_steps"))
     x = F.col(across)
+    stretch = lambda c: F.call_function("div", c.cast("long"), F.lit(feather).cast("long"))
+    two = F.explode(F.array(stretch(F.col("place")), stretch(F.col("place")) + 1)).alias("_at")
+    reached = steps.where("diff is not null").select("scene", F.col("line").alias(line), "place", "diff", two)
+    found = reached.groupBy("scene", line, "_at").agg(F.array_sort(F.collect_list(F.struct("place", "diff"))).alias("_steps"))
 
     def add(total: Column, e: Column) -> Column:
         inside = (x >= e["place"]) & (x < e["place"] + feather)
         return F.when(inside, total + e["diff"] * (1.0 - (x - e["place"]) / float(feather))).otherwise(total)
 
     new = F.aggregate("_steps", F.col(unw).cast("double"), add)
-    return df.join(found, ["scene", line], "left").withColumn(unw, F.when(F.col("mask") & F.col("_steps").isNotNull(), new).otherwise(F.col(unw))).drop("_steps")
+    df = df.withColumn("_at", stretch(x)).join(found, ["scene", line, "_at"], "left")
+    return df.withColumn(unw, F.when(F.col("mask") & F.col("_steps").isNotNull(), new).otherwise(F.col(unw))).drop("_steps", "_at")
 
 
 def neighbour_feedback(df: DataFrame, shape: tuple[int, int], ntiles: tuple[int, int], overlap: tuple[int, int], feather: int = 200, unw: str = "unw") -> DataFrame:

@@ -1,6 +1,9 @@
 """Plans that grow no faster than their input."""
 
+import os
+
 from phasegrid.operators import components, flow, grid, seams
+from phasegrid.operators.graph import checkpoint_dir
 from phasegrid.sources import from_arrays
 
 
@@ -38,3 +41,14 @@ def test_runs_are_made_once(spark):
     df = flat(spark)
     labels = components.label_runs(df, (6, 8), df["mask"], "unw")
     assert "Window" not in plan_of(labels) and labels.where("root = 0").count() == 48
+
+
+def test_many_seams_are_one_plan(spark):
+    """Four hundred seams within each other's feather: no table is written for each."""
+    df, at = flat(spark, 1000, 3), checkpoint_dir(spark).removeprefix("file:")
+    tables = lambda: len(os.listdir(at)) if os.path.isdir(at) else 0
+    before = tables()
+    steps = seams.seam_steps(df, seams.seam_places(1000, 400, 0), 6, "row")
+    assert tables() == before
+    out = seams.seams_apply(df, steps, 6, "row")
+    assert steps.count() == 3 * 399 and out.where("unw = 0").count() == 3000
