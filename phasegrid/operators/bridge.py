@@ -1,14 +1,16 @@
 """Bridging of regions that no valid pixels connect.
 
-Regions and bridges are few and their number is bounded by the scene's pixels
-over the smallest region; only such tables (and a <= 6 x 6 system) reach the
-driver, never pixels.
+The number of regions and bridges is bounded by the scene's pixels over the
+smallest region; only such tables (and a <= 6 x 6 system) reach the driver,
+never pixels, and never a row for every two regions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -157,20 +159,90 @@ def nearest_pairs(points: DataFrame) -> DataFrame:
     return pairs.repartition("scene", "li", "lj").mapInArrow(_closest, PAIRS)
 
 
+def _near_pairs(points: DataFrame, reach: int) -> DataFrame:
+    """(scene, li, lj, there, back), li < lj: the closest points of two regions of different groups with a key of at most 64 `reach`.
+
+    `there` is (q, i, j, y0, x0, y1, x1), the first by (q, i, j); `back` is (q, j, i, y1, x1, y0, x0).  A point
+    meets those of the cells round its own, and only where several groups meet.
+    """
+    cell = lambda c: F.floor(F.col(c) / (reach + 1)).cast("int")
+    points = points.withColumns({"_r": cell("row"), "_c": cell("col")})
+    beside = F.explode(F.array(*[F.struct((F.col("_r") + i).alias("r"), (F.col("_c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_at")
+    around = lambda df, *more: df.select("scene", *more, beside).withColumns({"_r": F.col("_at.r"), "_c": F.col("_at.c")}).drop("_at")
+    cells = around(points.select("scene", "_r", "_c", "group").distinct(), "group").groupBy("scene", "_r", "_c").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"))
+    own = points.join(cells.where("_lo < _hi").hint("merge"), ["scene", "_r", "_c"], "left_semi")
+    named = lambda df, k, l: df.select("scene", "_r", "_c", F.col("label").alias(f"l{l}"), F.col("group").alias(f"g{l}"), F.col("local").alias(l), F.col("row").alias(f"y{k}"), F.col("col").alias(f"x{k}"))  # noqa: E731, E741
+    met = named(own, 0, "i").join(named(around(own, "label", "group", "local", "row", "col"), 1, "j").hint("merge"), ["scene", "_r", "_c"]).where("li < lj AND gi <> gj")
+    dy, dx = (F.col(f"{c}0") - F.col(f"{c}1") for c in "yx")
+    q = F.floor(F.sqrt((dy * dy + dx * dx).cast("double")) * 64).alias("q")
+    met = met.where(dy * dy + dx * dx <= (reach + 1) ** 2).select("scene", "li", "lj", q, "i", "j", "y0", "x0", "y1", "x1").where(F.col("q") <= 64 * reach)
+    first = lambda *names: F.min(F.struct(*names))
+    return met.groupBy("scene", "li", "lj").agg(first("q", "i", "j", "y0", "x0", "y1", "x1").alias("there"), first("q", "j", "i", "y1", "x1", "y0", "x0").alias("back"))
+
+
+def tree_pairs(points: DataFrame) -> dict[str, dict[tuple[int, int], tuple]]:
+    """For each scene the pairs of regions that a minimum spanning tree may use: (li, lj) and (lj, li) to (q, y0, x0, y1, x1).
+
+    A pair whose regions are joined by strictly closer pairs is in no such tree,
+    so pairs are sought within a reach that doubles, between the groups that
+    the shorter ones have not joined.  Only the pairs left reach the driver: as
+    many as the regions, and those as close as them.
+    """
+    points = written(points.select("scene", "label", "row", "col", "local"))
+    names = points.select("scene", "label").distinct().toArrow().sort_by([("scene", "ascending"), ("label", "ascending")]).to_pydict()
+    number = {key: k for k, key in enumerate(zip(names["scene"], names["label"], strict=True))}
+    up = list(range(len(number)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out: dict[str, dict[tuple[int, int], tuple]] = {s: {} for s in names["scene"]}
+    reach, widest = 2, points.agg(F.coalesce(F.max("row") + F.max("col"), F.lit(0))).first()[0] + 1
+    while len({root(k) for k in range(len(up))}) > len(out):
+        groups = pa.table({"scene": names["scene"], "label": pa.array(names["label"], pa.int64()), "group": pa.array([root(k) for k in range(len(up))], pa.int64())})
+        grouped = points.join(F.broadcast(points.sparkSession.createDataFrame(groups)), ["scene", "label"])
+        found = _near_pairs(grouped, reach).toArrow()
+        rows = sorted(found.to_pylist(), key=lambda r: r["there"]["q"])
+        for _, equal in groupby(rows, key=lambda r: r["there"]["q"]):
+            # Judged by the strictly closer ones, joined after: equals may all be used.
+            kept = [r for r in equal if root(number[r["scene"], r["li"]]) != root(number[r["scene"], r["lj"]])]
+            for r in kept:
+                for key, e, flip in (((r["li"], r["lj"]), r["there"], 0), ((r["lj"], r["li"]), r["back"], 1)):
+                    ends = (e["y1"], e["x1"], e["y0"], e["x0"]) if flip else (e["y0"], e["x0"], e["y1"], e["x1"])
+                    out[r["scene"]][key] = (e["q"], *ends)
+                p, q = root(number[r["scene"], r["li"]]), root(number[r["scene"], r["lj"]])
+                up[max(p, q)] = min(p, q)
+        if reach > widest:
+            break
+        reach *= 2
+    return out
+
+
 def spanning_tree(pairs: dict[tuple[int, int], int], n: int, root: int) -> list[tuple[int, int]]:
     """(parent, child) edges of the minimum spanning tree from the root, breadth first; lowest label wins ties."""
-    best = {j: (pairs.get((root, j), math.inf), root) for j in range(1, n + 1) if j != root}
+    near: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), d in pairs.items():
+        near.setdefault(i, []).append((j, d))
+    best: dict[int, tuple[float, int]] = {}
     children: dict[int, list[int]] = {}
-    while best:
-        j = min(best, key=lambda k: (best[k][0], k))
-        d, parent = best.pop(j)
-        if d == math.inf:
+    inside, heap, j = {root}, [], root
+    while len(inside) <= n:
+        for k, d in near.get(j, []):
+            if k not in inside and d < best.get(k, (math.inf, 0))[0]:
+                best[k] = (d, j)
+                heappush(heap, (d, k))
+        while heap and heap[0][1] in inside:
+            heappop(heap)
+        if not heap:
             break
+        j = heappop(heap)[1]
+        parent = best[j][1]
+        inside.add(j)
         children.setdefault(parent, []).append(j)
         children.setdefault(j, []).append(parent)
-        for k in best:
-            if (e := pairs.get((j, k), math.inf)) < best[k][0]:
-                best[k] = (e, j)
     order, seen, queue = [], {root}, [root]
     for u in queue:
         for v in children.get(u, []):
@@ -183,7 +255,13 @@ def spanning_tree(pairs: dict[tuple[int, int], int], n: int, root: int) -> list[
 
 def region_medians(df: DataFrame, ends: DataFrame, radius: int, unw: str = "unw") -> DataFrame:
     """(scene, label, y, x, median): the upper median of a region in a box round an end of a bridge."""
-    near = df.where("label > 0").join(ends, ["scene", "label"]).where((F.abs(F.col("row") - F.col("y")) <= radius) & (F.abs(F.col("col") - F.col("x")) <= radius))
+    # A region meets the ends of its own block of boxes, not all of its ends.
+    side = 2 * radius + 1
+    block = lambda c: F.floor(c / side).cast("int")
+    blocks = lambda c: F.explode(F.sequence(block(F.col(c) - radius), block(F.col(c) + radius)))
+    ends = ends.select("scene", "label", "y", "x").withColumn("_r", blocks("y")).withColumn("_c", blocks("x"))
+    own = df.where("label > 0").withColumns({"_r": block(F.col("row")), "_c": block(F.col("col"))})
+    near = own.join(ends, ["scene", "label", "_r", "_c"]).where((F.abs(F.col("row") - F.col("y")) <= radius) & (F.abs(F.col("col") - F.col("x")) <= radius))
     return near.groupBy("scene", "label", "y", "x").agg(upper_median(F.collect_list(unw)).alias("median"))
 
 
@@ -214,8 +292,9 @@ def bridge(df: DataFrame, shape: tuple[int, int], options: BridgeOptions = Bridg
     live = [s for s, n in regions(labels).items() if n > 1 and s in several]
     if not live:
         return df
-    labels = labels.where(F.col("scene").isin(live))
-    joined = written(df.join(labels, ["scene", "row", "col"]).withColumn("_solid", F.col(unw) != 0))
+    labels, most = labels.where(F.col("scene").isin(live)), regions(labels)
+    # Label tables are small on disk and as long as the raster: not to be broadcast.
+    joined = written(df.join(labels.hint("merge"), ["scene", "row", "col"]).withColumn("_solid", F.col(unw) != 0))
     reference = {r["scene"]: (r["label"], r["n"]) for r in reference_region(joined).collect()}
     kind, ramps = options.ramp_type, {}
     if kind:
@@ -230,16 +309,17 @@ def bridge(df: DataFrame, shape: tuple[int, int], options: BridgeOptions = Bridg
     for scene, coef in ramps.items():
         flat = flat.withColumn("_here", F.col("_solid") & (F.col("scene") == scene))
         flat = apply_ramp(flat, kind, coef, -1.0, unw, "_here").drop("_here")
-    found = nearest_pairs(sample_boundary(boundary(labels), options.max_boundary_samples)).collect()  # one row for two regions
+    found = tree_pairs(sample_boundary(boundary(labels), options.max_boundary_samples))
     edges: list[tuple] = []
     for scene in live:
-        near = {(r["li"], r["lj"]): r for r in found if r["scene"] == scene}
-        for u, v in spanning_tree({k: r["q"] for k, r in near.items()}, regions(labels)[scene], reference[scene][0]):
-            r = near[u, v]
-            edges.append((scene, u, v, r["y0"], r["x0"], r["y1"], r["x1"]))
-    ends = [(s, a, y, x) for s, u, v, y0, x0, y1, x1 in edges for a, y, x in ((u, y0, x0), (v, y1, x1))]
-    table = spark.createDataFrame(sorted(set(ends)), "scene string, label long, y int, x int")
-    medians = {(r["scene"], r["label"], r["y"], r["x"]): r["median"] for r in region_medians(flat, table, min(options.radius, min(shape) // 2), unw).collect()}
+        near = found[scene]
+        for u, v in spanning_tree({k: r[0] for k, r in near.items()}, most[scene], reference[scene][0]):
+            edges.append((scene, u, v, *near[u, v][1:]))
+    ends = sorted({(s, a, y, x) for s, u, v, y0, x0, y1, x1 in edges for a, y, x in ((u, y0, x0), (v, y1, x1))})
+    kinds = {"scene": pa.string(), "label": pa.int64(), "y": pa.int32(), "x": pa.int32()}
+    table = spark.createDataFrame(pa.table({name: pa.array([e[k] for e in ends], kind) for k, (name, kind) in enumerate(kinds.items())}))
+    middle = region_medians(flat, table, min(options.radius, min(shape) // 2), unw).toArrow().to_pydict()
+    medians = dict(zip(zip(*(middle[k] for k in kinds), strict=True), middle["median"], strict=True))
     cycles: dict[tuple[str, int], float] = {}
     for s, u, v, y0, x0, y1, x1 in edges:
         m0, m1 = medians.get((s, u, y0, x0)), medians.get((s, v, y1, x1))

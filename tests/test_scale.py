@@ -2,6 +2,9 @@
 
 import os
 
+import numpy as np
+
+from phasegrid.operators import bridge as B
 from phasegrid.operators import components, flow, grid, seams
 from phasegrid.operators.graph import checkpoint_dir
 from phasegrid.sources import from_arrays
@@ -12,7 +15,7 @@ def plan_of(df) -> str:
 
 
 def flat(spark, nrow=6, ncol=8):
-    import numpy as np
+
 
     return from_arrays(spark, unw=np.zeros((nrow, ncol)), mask=np.ones((nrow, ncol), bool))
 
@@ -52,3 +55,36 @@ def test_many_seams_are_one_plan(spark):
     assert tables() == before
     out = seams.seams_apply(df, steps, 6, "row")
     assert steps.count() == 3 * 399 and out.where("unw = 0").count() == 3000
+
+
+def test_tree_pairs_give_the_tree_of_all_pairs(spark):
+    """Close regions, equal distances and one far away: the tree of the few pairs is that of all."""
+    rng = np.random.default_rng(3)
+    cells = {(int(r), int(c)) for r, c in rng.integers(0, 30, (40, 2))} | {(70, 3), (71, 60)}
+    rows = [("s", k, 2 * r + i, 2 * c, i) for k, (r, c) in enumerate(sorted(cells), 1) for i in (0, 1)]
+    points = spark.createDataFrame(rows, "scene string, label long, row int, col int, local int")
+    every = {(r["li"], r["lj"]): (r["q"], r["y0"], r["x0"], r["y1"], r["x1"]) for r in B.nearest_pairs(points).collect()}
+    few = B.tree_pairs(points)["s"]
+    assert len(few) < len(every) / 3 and all(every[k] == r for k, r in few.items())
+    short = lambda pairs: {k: r[0] for k, r in pairs.items()}
+    n = len(cells)
+    for root in (1, 9, n):
+        tree = B.spanning_tree(short(few), n, root)
+        assert len(tree) == n - 1 and tree == B.spanning_tree(short(every), n, root) == plain_tree(short(every), n, root)
+
+
+def plain_tree(pairs, n, root):
+    """Prim's algorithm over all pairs."""
+    best, children = {j: (pairs[root, j], root) for j in range(1, n + 1) if j != root}, {}
+    while best:
+        j = min(best, key=lambda k: (best[k][0], k))
+        parent = best.pop(j)[1]
+        children.setdefault(parent, []).append(j)
+        for k in best:
+            if pairs[j, k] < best[k][0]:
+                best[k] = (pairs[j, k], j)
+    order, queue = [], [root]
+    for u in queue:
+        order += [(u, v) for v in children.get(u, [])]
+        queue += children.get(u, [])
+    return order
