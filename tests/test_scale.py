@@ -88,3 +88,20 @@ def plain_tree(pairs, n, root):
         order += [(u, v) for v in children.get(u, [])]
         queue += children.get(u, [])
     return order
+
+
+def test_nearest_pairs_are_dealt_in_blocks(spark):
+    """No row for two regions is shuffled; points and ties are those of all point pairs."""
+    rng = np.random.default_rng(5)
+    where = {k: rng.integers(0, 25, (int(rng.integers(1, 40)), 2)) + [30 * (k // 4), 30 * (k % 4)] for k in range(1, 9)}
+    points = spark.createDataFrame([("s", 200 * k, i, int(r), int(c)) for k, p in where.items() for i, (r, c) in enumerate(p)], "scene string, label long, local int, row int, col int")
+    found = B.nearest_pairs(points)
+    assert not any("hashpartitioning" in line and "li#" in line for line in plan_of(found).splitlines())
+    key = lambda a, b, i, j: (int(np.floor(np.sqrt(float(((a[i] - b[j]) ** 2).sum())) * 64)), i, j)
+    want = {}
+    for x, a in where.items():
+        for y, b in where.items():
+            if x != y:
+                q, i, j = min(key(a, b, i, j) for i in range(len(a)) for j in range(len(b)))
+                want[200 * x, 200 * y] = (q, *map(int, a[i]), *map(int, b[j]))
+    assert {(r["li"], r["lj"]): (r["q"], r["y0"], r["x0"], r["y1"], r["x1"]) for r in found.collect()} == want
