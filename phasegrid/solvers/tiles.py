@@ -34,8 +34,10 @@ class Stencil:
 
     def spread(self, g_row: np.ndarray, g_col: np.ndarray) -> np.ndarray:
         """Transposed differences of the weighted arc values."""
-        out = np.zeros((g_col.shape[0], g_row.shape[1]))
-        a, b = self.w_row * g_row, self.w_col * g_col
+        return self._spread(self.w_row * g_row, self.w_col * g_col)
+
+    def _spread(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((b.shape[0], a.shape[1]))
         out[:-1] -= a
         out[1:] += a
         out[:, :-1] -= b
@@ -43,7 +45,13 @@ class Stencil:
         return out
 
     def apply(self, x: np.ndarray) -> np.ndarray:
-        return self.spread(np.diff(x, axis=0), np.diff(x, axis=1)) + EPSILON * x
+        # Small tiles: each call costs as much as its arithmetic, so differences are slices and products stay in place.
+        a, b = x[1:] - x[:-1], x[:, 1:] - x[:, :-1]
+        a *= self.w_row
+        b *= self.w_col
+        out = self._spread(a, b)
+        out += EPSILON * x
+        return out
 
     def diagonal(self) -> np.ndarray:
         out = np.full((self.w_col.shape[0], self.w_row.shape[1]), EPSILON)
@@ -70,10 +78,12 @@ def conjugate_gradients(s: Stencil, b: np.ndarray, x: np.ndarray, max_iter: int,
             break
         a = rz / pq
         x = x + a * p
-        r = r - a * q
-        z = r / d
+        q *= a
+        r -= q
+        np.divide(r, d, out=z)
         rz, old = float((r * z).sum()), rz
-        p = z + rz / old * p
+        p *= rz / old
+        p += z
     return x
 
 
